@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.llm.shingles import WordHashes, word_hashes
+
 #: Rows of each class that train at most, bits of the feature hash, and the least calibrated probability that is kept.
 SAMPLE, BITS, KEEP_AT = 1000, 18, 0.3
 #: The rules' limits.
@@ -30,20 +32,6 @@ _MASK = np.uint64((1 << BITS) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def _slot(h: np.ndarray) -> np.ndarray:
     h = h * _P
     return ((h >> np.uint64(40)) & _MASK).astype(np.int64)

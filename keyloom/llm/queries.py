@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, licenses, mixing, quality, token_shards, url_filter
+from keyloom.llm import bpe, jaccard, licenses, mixing, pii, quality, token_shards, url_filter
 from keyloom.llm.common import Scratch, ship
 
 
@@ -20,6 +20,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary, pattern).drop("text"), vocabulary, pattern))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.label_outcomes(_table(spark, sf_dir, "labels")))
 
@@ -30,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -43,7 +51,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.digests(token_shards.write(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, Scratch(spark)))
 
 
-_QUERIES = [op2_byte_bpe, op4_url_filter, op6_quality_rules, op8_license_scan, op9_source_mix, op10_token_shards]
+_QUERIES = [op2_byte_bpe, op3_pii, op4_url_filter, op6_quality_rules, op7_jaccard_join, op8_license_scan, op9_source_mix, op10_token_shards]
 
 
 def queries() -> dict:
