@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, jaccard, licenses, mixing, pii, quality, token_shards, url_filter
+from keyloom.llm import bpe, cover_tree, jaccard, licenses, mixing, pii, quality, substring, token_shards, url_filter
 from keyloom.llm.common import Scratch, ship
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,6 +32,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.label_outcomes(_table(spark, sf_dir, "labels")))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -51,7 +59,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.digests(token_shards.write(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, Scratch(spark)))
 
 
-_QUERIES = [op2_byte_bpe, op3_pii, op4_url_filter, op6_quality_rules, op7_jaccard_join, op8_license_scan, op9_source_mix, op10_token_shards]
+_QUERIES = [op1_substring_dedup, op2_byte_bpe, op3_pii, op4_url_filter, op5_embedding_dedup, op6_quality_rules, op7_jaccard_join, op8_license_scan, op9_source_mix, op10_token_shards]
 
 
 def queries() -> dict:
