@@ -37,7 +37,6 @@ def _(ks):
 
 
 _ROW = "expire_at, size"
-_DEAD = f"TIMESTAMP '1997-01-01 00:00:00'"
 
 
 @query("rename", f"SELECT CASE WHEN key = 'order:5' THEN 'order:6' ELSE key END AS key, {_ROW} FROM meta WHERE key <> 'order:6'", "meta")
