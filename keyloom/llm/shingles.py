@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import xxhash
 
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def trim(known: dict, most: int) -> None:
+    """Halve a full memory. What came first came often, so the newest entries go."""
+    if len(known) > most:
+        for key in list(islice(reversed(known), most // 2)):
+            del known[key]
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered within bounds."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
+        trim(self, 300_000)
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
