@@ -29,7 +29,7 @@ class ScriptRegistry:
     def eval(self, spark: SparkSession, body: str, keys: list[str] = (), argv: list[str] = (), **tables: DataFrame) -> DataFrame:
         """Run a body over tables named in it as {name}; KEYS and ARGV are :keys and :argv."""
         self.load(body)
-        array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+        array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array()
         return spark.sql(body, args={"keys": array(list(keys)), "argv": array(list(argv))}, **tables)
 
     def evalsha(self, spark: SparkSession, sha: str, keys: list[str] = (), argv: list[str] = (), **tables: DataFrame) -> DataFrame:
