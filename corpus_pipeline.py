@@ -25,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the documents that pass. A null text has no words and is rejected."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text"), quality.train(docs, labels))
-    return judged.where("kept").select("row.*")
+    return quality.keep(docs, quality.train(docs, labels))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

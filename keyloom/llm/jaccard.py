@@ -5,12 +5,13 @@ opens a group only if its overlap with the group's token union can reach the thr
 
 1. Tokens get a global order in which frequent ones stand last. Of a set of n shingles the first n - ceil(.75 n) + l
    matter (l = 1 + n // 20): two sets at the threshold share at least least(l, l') tokens among these.
-2. Tokens of at least two sets are found by one sort. Each set is checked against the leader of the tokens it shares
-   most; what passes forms the groups (connected components), cut into blocks of about BLOCK sets.
-3. Matrix: (token, block) over tokens that more than one group holds. A query counts its tokens per block of another
-   group; blocks below the bound stay closed. Open ones are checked with the full sets: first the overlap with the
-   block's union, then its members, until one links. One link joins query and group, so the rest of that group's
-   pairs need no check: the components are those of all pairs.
+2. Tokens of at least two sets are found by one sort. Each set is checked against the leaders (first sets) of its
+   tokens, if it shares enough of them; what passes forms components.
+3. Groups: the sets that share most tokens with the same leader, linked or not, in blocks of about BLOCK.
+4. Matrix: (token, block) over tokens that more than one component holds. A query counts its tokens per block with
+   another component; blocks below the bound stay closed. Open ones are checked with the full sets: first the overlap
+   with the block's union, then a member of each component that is not yet linked with the query's. A link joins
+   whole components, so their other pairs need no check: the components are those of all pairs.
 
 Documents with equal sets are one class from the start. No step makes all pairs of a group.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Scratch, connected_components
-from keyloom.llm.shingles import WordHashes, lower_words, shingle_set, word_hashes
+from keyloom.llm.shingles import hash_words, shingle_set
 
 #: Threshold as a fraction, words of a shingle.
 NUM, DEN, WORDS = 3, 4, 5
@@ -51,8 +52,8 @@ def slack(n):
     return 1 + n // 20
 
 
-def _sets(texts: list[str | None], known: WordHashes) -> list[np.ndarray]:
-    return [shingle_set(word_hashes(lower_words(t), known), WORDS) for t in texts]
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
+    return [shingle_set(h, WORDS) for h in hash_words(texts)]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -63,7 +64,7 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens (sorted) and their levels: repeats within stretches of the input, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def out() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -71,10 +72,10 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(count[more], pa.int64())], names=["token", "n"])
 
         for b in batches:
-            for s in _sets(b.column("text").to_pylist(), known):
+            for s in _sets(b.column("text").to_pylist()):
                 held.append(s)
                 n += len(s)
-                if n > 4_000_000:
+                if n > 2_000_000:
                     yield out()
                     held, n = [], 0
         yield out()
@@ -91,10 +92,10 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (token, level) = WordHashes(), shared.value
+        token, level = shared.value
         for b in batches:
             cs, ns, flat, ends = [], [], [], [0]
-            for s in _sets(b.column("text").to_pylist(), known):
+            for s in _sets(b.column("text").to_pylist()):
                 n = len(s)
                 cs.append(class_of(s) if n else None)
                 ns.append(n)
@@ -165,50 +166,58 @@ def full_sets(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFra
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_k"), "text").join(F.broadcast(need) if small else need, "_k").select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            sets = [s.tobytes() for s in _sets(b.column("text").to_pylist(), known)]
+            sets = [s.tobytes() for s in _sets(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(sets, pa.binary())], names=["c", "tokens"])
 
     return rows.mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"])
 
 
 def links(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): for every asked (c, g) a link from query c into block g, if there is one. members: (g, c).
+    """(a, b): for every asked (c, root, g) a link from query c into each component of block g that it links with.
+    members: (g, c, root). Members of c's own component, or of one already linked, need no check.
 
     A block with many queries is copied to several tasks, with its members, at most BLOCK or so sets.
     """
     load = asked.groupBy("g").agg((F.floor(F.count("*") / QUERIES) + 1).cast("int").alias("shares"))
-    own = members.join(load, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "c")
-    ask = asked.join(load, "g").select("g", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), "c")
+    own = members.join(load, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "c", "root")
+    ask = asked.join(load, "g").select("g", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), "c", "root")
     rows = own.unionByName(ask).join(sets, "c").repartition("g", "share").sortWithinPartitions("g", "share", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, held, union = None, [], None
+        open_, held, union, up = None, [], None, {}
+
+        def find(r: int) -> int:
+            """The component that r belongs to by the links of this block."""
+            while (above := up.get(r, r)) != r:
+                r = above
+            return r
+
         for b in batches:
             found = []
-            for g, share, kind, c, tokens in zip(*(b.column(x).to_pylist() for x in ("g", "share", "kind", "c", "tokens")), strict=True):
+            for g, share, kind, c, root, tokens in zip(*(b.column(x).to_pylist() for x in ("g", "share", "kind", "c", "root", "tokens")), strict=True):
                 if (g, share) != open_:
-                    open_, held, union = (g, share), [], None
+                    open_, held, union, up = (g, share), [], None, {}
                 s = np.frombuffer(tokens, np.uint64)
                 if kind == 0:
-                    held.append((c, s))
+                    held.append((c, root, s))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([m for _, m in held])) if held else np.zeros(0, np.uint64)
+                    union = np.unique(np.concatenate([m for _, _, m in held])) if held else np.zeros(0, np.uint64)
                 n = len(s)
                 if _common(s, union) < least_overlap(n):
                     continue
-                for m, t in held:
-                    if m != c and DEN * len(t) >= NUM * n and DEN * n >= NUM * len(t):
+                own = find(root)
+                for m, r, t in held:
+                    if DEN * len(t) >= NUM * n and DEN * n >= NUM * len(t) and find(r) != own:
                         both = _common(s, t)
                         if DEN * both >= NUM * (n + len(t) - both):
                             found.append((c, m))
-                            break
+                            up[find(r)] = own
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rows.select("g", "share", "kind", "c", "tokens").mapInArrow(run, "a long, b long")
+    return rows.select("g", "share", "kind", "c", "root", "tokens").mapInArrow(run, "a long, b long")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -223,35 +232,39 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _components(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, root) for the classes that have links."""
     shared = scratch.keep(shared_tokens(signed))
-    # Groups: each class against the leader that it shares most tokens with.
+    # Each class against the leaders of its tokens: the first links, which most of a group's others follow from.
     l_c = 1 + F.floor(F.col("n") / 20)
-    stars = shared.where("c <> leader").groupBy("c", "n", "leader").agg(F.count("*").alias("both")).where(2 * F.col("both") >= l_c)
-    best = scratch.keep(stars.groupBy("c").agg(F.max_by("leader", F.struct("both", "leader")).alias("g")))
-    leaders = best.select("g").distinct().select("g", F.col("g").alias("c"))
-    classes = scratch.keep(best.select("c").unionByName(leaders.select("c")).distinct())
+    stars = scratch.keep(shared.where("c <> leader").groupBy("c", "n", "leader").agg(F.count("*").alias("both")))
+    asked = scratch.keep(stars.where(2 * F.col("both") >= l_c).select("c", F.col("c").alias("root"), F.col("leader").alias("g")))
+    leaders = asked.select("g").distinct().select("g", F.col("g").alias("c"), F.col("g").alias("root"))
+    classes = scratch.keep(asked.select("c").unionByName(leaders.select("c")).distinct())
     sets = scratch.keep(full_sets(docs, signed, classes))
-    edges = scratch.keep(links(best, leaders, sets))
-    groups = scratch.keep(connected_components(edges, scratch).select(F.col("node").alias("c"), "root"))
-    scratch.drop(sets)
-    # Matrix over tokens that more than one group holds.
-    rooted = shared.select("token", "c", "n").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    rooted = scratch.keep(rooted)
-    mixed = scratch.keep(rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("token"))
-    held = rooted.join(mixed, "token")
-    size = rooted.select("c", "root").distinct().groupBy("root").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
-    held = scratch.keep(held.join(size, "root").withColumn("g", F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("c"), F.col("blocks"))))))
-    matrix = held.groupBy("token", "g").agg(F.first("root").alias("g_root"), F.min("n").alias("low"), F.max("n").alias("high"))
-    q = held.select("token", "c", "n", "root")
-    met = q.join(matrix, "token").where((F.col("root") > F.col("g_root")) & (DEN * F.col("high") >= NUM * F.col("n")) & (DEN * F.col("n") >= NUM * F.col("low")))
+    edges = scratch.keep(links(asked, leaders, sets))
+    roots = scratch.keep(connected_components(edges, scratch).select(F.col("node").alias("c"), "root"))
+    scratch.drop(sets, classes, asked)
+    # Groups of similar documents, linked or not: those of the leader that they share most tokens with, in blocks.
+    near = stars.groupBy("c").agg(F.max_by("leader", F.struct("both", "leader")).alias("near"))
+    placed = shared.select("c", "n").distinct().join(near, "c", "left").join(roots, "c", "left")
+    placed = scratch.keep(placed.select("c", "n", F.coalesce("root", "c").alias("root"), F.coalesce("near", "c").alias("near")))
+    size = placed.groupBy("near").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    block = F.when(F.col("blocks") == 1, F.col("near")).otherwise(F.xxhash64("near", F.pmod(F.xxhash64("c"), F.col("blocks"))))
+    placed = scratch.keep(placed.join(size, "near").select("c", "n", "root", block.alias("own")))
+    # Matrix over tokens that more than one component holds.
+    held = shared.select("token", "c").join(placed, "c")
+    mixed = held.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("token")
+    held = scratch.keep(held.join(mixed, "token"))
+    matrix = held.groupBy("token", F.col("own").alias("g")).agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("low"), F.max("n").alias("high"))
+    met = held.join(matrix, "token").where((F.col("own") >= F.col("g")) & ((F.col("_a") != F.col("root")) | (F.col("_b") != F.col("root"))) & (DEN * F.col("high") >= NUM * F.col("n")) & (DEN * F.col("n") >= NUM * F.col("low")))
     bound = F.least(l_c, 1 + F.floor(F.col("low") / 20))
-    asked = met.groupBy("c", "n", "g").agg(F.count("*").alias("both"), F.min("low").alias("low")).where(F.col("both") >= bound).select("c", "g")
+    asked = met.groupBy("c", "n", "root", "g").agg(F.count("*").alias("both"), F.min("low").alias("low")).where(F.col("both") >= bound).select("c", "root", "g")
     asked = scratch.keep(asked)
-    members = scratch.keep(held.select("g", "c").distinct().join(asked.select("g").distinct(), "g", "left_semi"))
-    classes2 = scratch.keep(asked.select("c").unionByName(members.select("c")).distinct())
-    sets = scratch.keep(full_sets(docs, signed, classes2))
+    members = placed.select(F.col("own").alias("g"), "c", "root").join(asked.select("g").distinct(), "g", "left_semi")
+    members = scratch.keep(members)
+    classes = scratch.keep(asked.select("c").unionByName(members.select("c")).distinct())
+    sets = scratch.keep(full_sets(docs, signed, classes))
     more = scratch.keep(links(asked, members, sets))
     out = scratch.keep(connected_components(edges.unionByName(more), scratch).select(F.col("node").alias("c"), "root"))
-    scratch.drop(shared, best, classes, edges, groups, rooted, mixed, held, asked, members, classes2, sets, more)
+    scratch.drop(shared, stars, edges, roots, placed, held, asked, members, classes, sets, more)
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.shingles import WordHashes, word_hashes
+from keyloom.llm.shingles import hash_words, windows
 
 #: Rows of each class that train at most, bits of the feature hash, and the least calibrated probability that is kept.
 SAMPLE, BITS, KEEP_AT = 1000, 18, 0.3
@@ -48,21 +48,23 @@ def grams(data: bytes, words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def counts(data: bytes, text: str, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
+def counts(data: bytes, text: str, hashes: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
     repeat = 0
     if len(hashes) >= 3:
-        three = (hashes[:-2] * _P + hashes[1:-1]) * _P + hashes[2:]
-        _, inverse, n = np.unique(three, return_inverse=True, return_counts=True)
-        again = n[inverse] >= 2
+        three = windows(hashes, 3)
+        order = np.argsort(three)
+        same = np.flatnonzero(np.diff(three[order]) == 0)
+        again = np.zeros(len(three), bool)
+        again[order[same]] = again[order[same + 1]] = True
         if again.any():
             covered = np.zeros(len(hashes), bool)
             for i in range(3):
                 covered[i : i + len(again)] |= again
             repeat = int(covered.sum())
     spaces = len(data) - len(data.translate(None, b" \t\n\v\f\r"))
-    return len(words), len(text) - spaces, len(data) - len(data.translate(None, SYMBOLS.encode())), len(lines) - len(set(lines)), repeat
+    return len(hashes), len(text) - spaces, len(data) - len(data.translate(None, SYMBOLS.encode())), len(lines) - len(set(lines)), repeat
 
 
 @dataclass
@@ -82,10 +84,9 @@ class Model:
 
 def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 200.0, l2: float = 1e-6) -> Model:
     """Full-batch gradient descent on mean n-gram frequencies; every fifth row is held out for calibration."""
-    known, rows = WordHashes(), []
-    for t in texts:
-        data = t.encode()
-        slots = grams(data, word_hashes(data.split(), known))
+    rows = []
+    for t, hashes in zip(texts, hash_words(texts, lower=False), strict=True):
+        slots = grams(t.encode(), hashes)
         rows.append(slots + [np.zeros(0, np.int64)] * (4 - len(slots)))
     y = np.array(good, float)
     train = np.arange(len(rows)) % 5 != 0
@@ -133,6 +134,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 ADDED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("probability", T.DoubleType())]
+_KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+
+
+def _verdicts(texts: list[str | None], model: Model, keep_at: float) -> list[tuple]:
+    """The values of ADDED for each text."""
+    out = []
+    for text, hashes in zip(texts, hash_words(texts, lower=False), strict=True):
+        text = text or ""
+        data = text.encode()
+        c = counts(data, text, hashes)
+        failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
+        p = float(model.probability(grams(data, hashes)))
+        out.append((*c, failed, not failed and p >= keep_at, p))
+    return out
 
 
 def judge(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
@@ -143,20 +158,20 @@ def judge(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, WordHashes()
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                data = text.encode()
-                words = data.split()
-                hashes = word_hashes(words, known)
-                c = counts(data, text, words, hashes)
-                failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
-                p = float(m.probability(grams(data, hashes)))
-                out.append((*c, failed, not failed and p >= keep_at, p))
+            out = _verdicts(b.column("text").to_pylist(), shared.value, keep_at)
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, t) for x, t in zip(columns, _KINDS, strict=True))], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def keep(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of df that `judge` keeps, with df's columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([v[6] for v in _verdicts(b.column("text").to_pylist(), shared.value, keep_at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -1,38 +1,77 @@
-"""Words and word shingles as 64-bit hashes."""
+"""Words and word shingles as 64-bit hashes, whole arrays at a time."""
 
 from __future__ import annotations
 
 from itertools import islice
 
 import numpy as np
-import xxhash
 
 P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def trim(known: dict, most: int) -> None:
-    """Halve a full memory. What came first came often, so the newest entries go."""
-    if len(known) > most:
-        for key in list(islice(reversed(known), most // 2)):
-            del known[key]
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        trim(self, 300_000)
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased; bytes.split() splits at space and \\t-\\r only."""
-    return text.encode().lower().split() if text else []
+_INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
+#: Bytes of texts that are hashed together.
+STRETCH = 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SAME = np.arange(1, 257, dtype=np.uint64)  # no byte counts as 0
+_LOWER = _SAME.copy()
+_LOWER[65:91] += np.uint64(32)
+
+
+class _Powers:
+    """P ** i and its inverse, grown on demand."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, STRETCH * 2)
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]).astype(np.uint64)) for base in (P, _INVERSE))
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def hash_words(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
+    """The hash of every word of each text, in order; words lie between spaces and \\t-\\r, A-Z count as a-z if lower.
+
+    A word's hash is its polynomial, taken as a difference of running sums and moved to power 0, then mixed.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(t.encode() if t else b"")
+        size += len(held[-1]) + 1
+        if size > STRETCH:
+            out += _stretch(held, lower)
+            held, size = [], 0
+    return out + (_stretch(held, lower) if held else [])
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _SAME) -> np.ndarray:
+    """The hash of each span of bytes; values: what each byte counts as."""
+    up, down = _powers.get(len(b) + 1)
+    sums = np.empty(len(b) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values[b] * up[: len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(31)
+    h *= P
+    h += (ends - starts).astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    h *= P
+    return h
+
+
+def _stretch(parts: list[bytes], lower: bool) -> list[np.ndarray]:
+    b = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[b], prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    h = span_hashes(b, starts, ends, _LOWER if lower else _SAME)
+    cuts = np.cumsum([len(x) + 1 for x in parts[:-1]])
+    return np.split(h, np.searchsorted(starts, cuts))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -54,4 +93,15 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
         return hashes
     if len(hashes) < k:
         return windows(hashes, len(hashes)) + np.uint64(len(hashes))
-    return np.unique(windows(hashes, k))
+    s = windows(hashes, k)
+    s.sort()
+    keep = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
+def trim(known: dict, most: int) -> None:
+    """Halve a full memory. What came first came often, so the newest entries go."""
+    if len(known) > most:
+        for key in list(islice(reversed(known), most // 2)):
+            del known[key]

@@ -11,7 +11,7 @@ import tiktoken
 
 import corpus_pipeline
 from keyloom.llm import mixing, pii, quality
-from keyloom.llm.shingles import WordHashes, word_hashes
+from keyloom.llm.shingles import hash_words
 from tests.llm.conftest import SF
 from tests.llm.test_tables import _targets
 from tests.llm.test_text import _brute, _plain_base, _rules
@@ -35,11 +35,11 @@ def test_stages_by_brute_force(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
         if name == "quality_rules":
-            model, known, want = quality.train(now, spark.read.parquet(f"{SF}/labels.parquet")), WordHashes(), []
+            model, want = quality.train(now, spark.read.parquet(f"{SF}/labels.parquet")), []
             for r in before:
                 data = (r[2] or "").encode()
                 c = _rules(r[2] or "")
-                if c[0] >= 50 and 2 * c[4] <= c[0] and model.probability(quality.grams(data, word_hashes(data.split(), known))) >= quality.KEEP_AT:
+                if c[0] >= 50 and 2 * c[4] <= c[0] and model.probability(quality.grams(data, hash_words([r[2]], lower=False)[0])) >= quality.KEEP_AT:
                     want.append(r)
             assert Counter(rows(out)) == Counter(want)
         elif name == "jaccard_join":
