@@ -27,8 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, wherever they run; once a session."""
+    """Give the Python workers this package, wherever they run, and Arrow batches of a size that suits texts."""
     context = spark.sparkContext
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(records) == "10000":  # texts are long rows: fewer at a time, unless the session says otherwise
+        spark.conf.set(records, "1000")
     if getattr(context, "_keyloom_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
