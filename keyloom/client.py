@@ -86,6 +86,8 @@ class Client:
 
     def _t(self, name: str) -> DataFrame:
         """Live rows of all databases."""
+        if "expiry" not in self.current:
+            return self._all(name)
         return self._all(name).join(self._expired(), ["db", "key"], "left_anti")
 
     def _own(self, name: str, *names: str) -> DataFrame:
@@ -95,7 +97,7 @@ class Client:
     def _write(self, name: str, df: DataFrame, *touched: str) -> None:
         self.writes += 1
         target = f"{self.path}/{name}/version={self.writes:012d}"
-        df.select([c.split()[0] for c in TABLES[name].replace("map<string,string>", "map").split(", ")]).coalesce(4).write.mode("overwrite").parquet(target)
+        df.select([c.split()[0] for c in TABLES[name].replace("map<string,string>", "map").split(", ")]).coalesce(1).write.mode("overwrite").parquet(target)
         self.current[name] = self.spark.read.schema(TABLES[name]).parquet(target)
         if touched and name != "expiry":
             self._forget(name, touched)
@@ -105,18 +107,22 @@ class Client:
     def _forget(self, name: str, touched: tuple[str, ...]) -> None:
         """Keys written anew after their deadline: what is left of their former lives goes."""
         at = (F.col("db") == self.db) & F.col("key").isin(list(touched))
-        dead = [r["key"] for r in self._expired().where(at).collect()]
+        dead = "expiry" in self.current and [r["key"] for r in self._expired().where(at).collect()]
         if dead:
             gone = (F.col("db") == self.db) & F.col("key").isin(dead)
             for other in (*TYPED, "expiry"):
-                if other != name and not self._all(other).where(gone).isEmpty():
+                if other in self.current and other != name and not self._all(other).where(gone).isEmpty():
                     self._write(other, self._all(other).where(~gone))
 
     def _type(self, key: str) -> str | None:
-        for name in TYPED:
-            if not self._own(name, key).isEmpty():
-                return name
-        return None
+        found = [self._own(n, key).select(F.lit(n).alias("type")).limit(1) for n in TYPED if n in self.current]
+        if not found:
+            return None
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        row = every.first()
+        return row and row["type"]
 
     def _expect(self, name: str, *names: str) -> None:
         for key in names:
@@ -127,7 +133,7 @@ class Client:
     def _drop(self, *names: str, but: str = "") -> None:
         """Remove keys from every typed table (except one) and their deadlines."""
         for name in (*TYPED, "expiry"):
-            if name != but and not self._all(name).where((F.col("db") == self.db) & F.col("key").isin(list(names))).isEmpty():
+            if name in self.current and name != but and not self._all(name).where((F.col("db") == self.db) & F.col("key").isin(list(names))).isEmpty():
                 self._write(name, self._all(name).where(~((F.col("db") == self.db) & F.col("key").isin(list(names)))))
 
     def _live_keys(self) -> DataFrame:
@@ -177,11 +183,13 @@ class Client:
             i += 1
         if nx and xx:
             raise CommandError("syntax error")
-        old, there = self._get(key), self._type(key) is not None
+        kind = self._type(key)
+        old, there = self._get(key) if want or kind == "string" else None, kind is not None
         if (nx and there) or (xx and not there):
             return old if want else None
         new = self._rows("string", [(self.db, key, value)])
-        self._drop(key, but="string") if self._type(key) not in (None, "string") else None
+        if kind not in (None, "string"):
+            self._drop(key, but="string")
         self._write("string", strings.mset(self._t("string"), new), key)
         if at is not None:
             self._expire(key, at)
