@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from itertools import islice
 
 import numpy as np
@@ -74,6 +76,26 @@ def _stretch(parts: list[bytes], lower: bool) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, cuts))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): where each distinct hash stands first, and for every hash the number of its distinct one.
+
+    Hashes meet in a table by their upper bits; the few that find another hash there are sorted out afterwards.
+    """
+    n = len(h)
+    bits = max(n, 1).bit_length() + 1
+    slot = (h >> np.uint64(64 - bits)).astype(np.intp)
+    table = np.empty(1 << bits, np.intp)
+    table[slot[::-1]] = np.arange(n - 1, -1, -1)
+    chosen = table[slot]
+    other = np.flatnonzero(h[chosen] != h)
+    if len(other):
+        _, first, inverse = np.unique(h[other], return_index=True, return_inverse=True)
+        chosen[other] = other[first][inverse]
+    own = chosen == np.arange(n)
+    number = np.cumsum(own) - 1
+    return np.flatnonzero(own), number[chosen]
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k-word window in order."""
     n = len(hashes) - k + 1
@@ -105,3 +127,12 @@ def trim(known: dict, most: int) -> None:
     if len(known) > most:
         for key in list(islice(reversed(known), most // 2)):
             del known[key]
+
+
+def release() -> None:
+    """At a task's end: hand the worker's free memory back, for the worker waits for the next task of any operator."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Scratch
-from keyloom.llm.pieces import splitter
+from keyloom.llm.pieces import PieceCoder
 
 #: Ids after which a shard is closed, rounds of replacement, pairs replaced a round, and the least count of a pair.
 SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 6, 1024, 16
 #: Pieces that a worker remembers.
-CACHE = 300_000
+CACHE = 1_500_000
 _BUCKETS = 18  # bits of the hash by which pairs are counted
 _MAGIC, _HEAD = b"KLRP0001", struct.Struct("<8sIIIIQ")
 
@@ -150,30 +151,36 @@ class ShardReader:
             yield ids[self.starts[i] : self.starts[i + 1]]
 
 
+def _encode_pieces(tokenizer, width: np.ndarray, new: list[str]) -> list[bytes]:
+    """Ids of pieces. Those of a space and letters follow each other in one text, in which each is a piece again; the
+    tokens' widths in bytes tell where one ends."""
+    plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+    out = {}
+    for at in range(0, len(plain), 2048):
+        own = plain[at : at + 2048]
+        found = np.array(tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+        ends, want = np.cumsum(width[found]), np.cumsum([len(p.encode()) for p in own])
+        cuts = np.searchsorted(ends, want)
+        if (ends[cuts] == want).all():  # else the library takes other characters for letters than Python does
+            ids, places = found.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            out.update(zip(own, map(ids.__getitem__, map(slice, places, places[1:])), strict=True))
+    rest = [p for p in new if p not in out]
+    out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+    return [out[p] for p in new]
+
+
 @lru_cache(1)
-def _encoder(path: str, pattern: str):
+def coder(path: str, pattern: str) -> PieceCoder:
+    """The tokenizers library behind a memory of pieces, one per Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t, splitter(pattern), {}
-
-
-def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
-    """Ids of each text by the tokenizers library; it encodes every piece of the pattern once and the pieces' ids are joined."""
-    tokenizer, split, known = _encoder(path, pattern)
-    out = []
-    for at in range(0, len(texts), 256):
-        pieces = [split(t) if t else [] for t in texts[at : at + 256]]
-        new = list({p for ps in pieces for p in ps if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({p for ps in pieces for p in ps})
-            known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out += [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-    return out
+    width = np.zeros(max(t.get_vocab().values()) + 1, np.int64)
+    for token, i in t.get_vocab().items():
+        width[i] = len(token)  # a character of a token is a byte
+    return PieceCoder(pattern, partial(_encode_pieces, t, width), CACHE)
 
 
 SHARDS = "part int, shard int, n_ids long, doc_ids array<bigint>, block binary"
@@ -181,7 +188,7 @@ SHARDS = "part int, shard int, n_ids long, doc_ids array<bigint>, block binary"
 
 def write(docs: DataFrame, path: str, pattern: str, scratch: Scratch, end_id: int = 0, first: int = 50257, shard_ids: int = SHARD) -> DataFrame:
     """Stored shards of all documents (doc_id, text) in ascending doc_id order, each document ended by end_id."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, names, held, n = TaskContext.get().partitionId(), 0, [], [], 0
@@ -193,9 +200,9 @@ def write(docs: DataFrame, path: str, pattern: str, scratch: Scratch, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(row[c], t) for c, t in (("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary()))], names=list(row))
 
         for b in batches:
-            for name, ids in zip(b.column("doc_id").to_pylist(), encode_texts(b.column("text").to_pylist(), path, pattern), strict=True):
+            for name, ids in zip(b.column("doc_id").to_pylist(), coder(path, pattern).encode(b.column("text").to_pylist()), strict=True):
                 names.append(name)
-                held.append(np.frombuffer(ids + end, "<u4"))
+                held.append(np.append(ids, end))
                 n += len(held[-1])
                 if n >= shard_ids:
                     yield close()
@@ -229,9 +236,22 @@ def read(shards: DataFrame) -> DataFrame:
     return shards.select("part", "shard", "doc_ids", "block").mapInArrow(run, "part int, shard int, doc_id bigint, at bigint, ids binary")
 
 
-def digests(shards: DataFrame) -> DataFrame:
-    """Start, length and checksum of every document as read back."""
-    docs = read(shards).select("part", "shard", "doc_id", "at", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return docs.join(offsets(shards.select("part", "shard", "n_ids")), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+def checksums(shards: DataFrame) -> DataFrame:
+    """(part, shard, doc_id, at, n_tokens, ids_crc32) of every document as read back from the stored shards; what
+    `read` returns, summed up where it is read."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, shard, names, block in zip(b.column("part").to_pylist(), b.column("shard").to_pylist(), b.column("doc_ids").to_pylist(), b.column("block").to_pylist(), strict=True):
+                reader = ShardReader(block)
+                crc = [zlib.crc32(ids.astype("<u4", copy=False)) for ids in reader.documents()]
+                n = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(reader.starts[:-1], pa.int64()), pa.array(reader.sizes, pa.int64()), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    return shards.select("part", "shard", "doc_ids", "block").mapInArrow(run, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
 
+
+def digests(shards: DataFrame) -> DataFrame:
+    """Start, length and checksum of every document as read back."""
+    placed = checksums(shards).join(offsets(shards.select("part", "shard", "n_ids")), ["part", "shard"])
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
