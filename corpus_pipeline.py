@@ -47,7 +47,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    coded = bpe.decode(bpe.encode(rows, path, pattern).drop("text"), path, pattern)
+    coded = bpe.round_trip(rows, path, pattern)
     decoded = F.sha2("decoded", 256)
     return coded.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
 

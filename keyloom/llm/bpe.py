@@ -14,7 +14,7 @@ input are replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.pieces import splitter
+from keyloom.llm.pieces import PieceCoder
+from keyloom.llm.shingles import release, trim
 
-#: Entries after which a worker's memory of pieces or pairs is emptied.
-CACHE = 300_000
+#: Pieces, and pairs of tokens, that a worker remembers before it halves its memory of them.
+CACHE, PAIRS = 600_000, 250_000
 
 
 class PrefixCoder:
@@ -63,8 +64,7 @@ class PrefixCoder:
         if got is None:
             a, b = self.tokens[before] if before >= 0 else b"", self.tokens[token]
             got = (not a or a + b not in self.ranks) and self.merge(a + b) == ([before, token] if a else [token])
-            if len(self._pairs) > CACHE:
-                self._pairs.clear()
+            trim(self._pairs, PAIRS)
             self._pairs[key] = got
         return got
 
@@ -141,26 +141,13 @@ class Document:
         return [i for piece in self.ids for i in piece]
 
 
-class _Pieces(dict):
-    """Piece -> its ids as bytes; filled on demand."""
-
-    def __init__(self, coder: PrefixCoder):
-        self.coder = coder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        ids = self[piece] = np.array(self.coder.encode_piece(piece.encode()), "<u4").tobytes()
-        return ids
-
-
 @lru_cache(1)
-def load(path: str, pattern: str) -> tuple[PrefixCoder, Callable[[str], list[str]], _Pieces]:
+def load(path: str, pattern: str) -> tuple[PrefixCoder, PieceCoder]:
     """One per Python worker; the file lies on every node at the path given."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = PrefixCoder(ranks)
-    return coder, splitter(pattern), _Pieces(coder)
+    return coder, PieceCoder(pattern, lambda new: [np.array(coder.encode_piece(p.encode()), "<u4").tobytes() for p in new], CACHE)
 
 
 def _replaced(df: DataFrame, name: str) -> tuple[T.StructType, list[str]]:
@@ -173,11 +160,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     schema, rest = _replaced(df, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, split, pieces = load(path, pattern)
-        ids_of = pieces.__getitem__
+        pieces = load(path, pattern)[1]
         for b in batches:
-            ids = [b"".join(map(ids_of, split(t))) if t else b"" for t in b.column(text).to_pylist()]
+            ids = [x.astype("<u4").tobytes() for x in pieces.encode(b.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(ids, pa.binary())], names=schema.names)
+        del pieces
+        load.cache_clear()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -187,10 +176,32 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     schema, rest = _replaced(df, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _, _ = load(path, pattern)
+        coder, _ = load(path, pattern)
         for b in batches:
             got = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(got, pa.binary())], names=schema.names)
+        del coder
+        load.cache_clear()
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with `ids` and, decoded from them, `decoded`, in one worker."""
+    first, _ = _replaced(df, "ids")
+    rest = [c for c in first.names if c not in ("ids", "decoded")]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, pieces = load(path, pattern)
+        for b in batches:
+            ids = [x.astype("<u4", copy=False) for x in pieces.encode(b.column(text).to_pylist())]
+            columns = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x.tolist()) for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *columns], names=schema.names)
+        del coder, pieces
+        load.cache_clear()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Scratch, connected_components
-from keyloom.llm.shingles import hash_words, shingle_set
+from keyloom.llm.shingles import hash_words, release, shingle_set
 
 #: Threshold as a fraction, words of a shingle.
 NUM, DEN, WORDS = 3, 4, 5
@@ -79,6 +79,8 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield out()
                     held, n = [], 0
         yield out()
+        held = []
+        release()
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT)
     top = counted.orderBy(F.col("n").desc(), "token").limit(HOT).toArrow()
@@ -111,6 +113,7 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("doc_id"), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), prefix], names=["_k", "doc_id", "c", "n", "prefix"])
+        release()
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(run, "_k long, doc_id bigint, c long, n long, prefix array<bigint>")
@@ -216,6 +219,8 @@ def links(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
                             up[find(r)] = own
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+        open_, held, union = None, [], None
+        release()
 
     return rows.select("g", "share", "kind", "c", "root", "tokens").mapInArrow(run, "a long, b long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.shingles import hash_words, windows
+from keyloom.llm.shingles import hash_words, release, windows
 
 #: Rows of each class that train at most, bits of the feature hash, and the least calibrated probability that is kept.
 SAMPLE, BITS, KEEP_AT = 1000, 18, 0.3
@@ -162,6 +162,7 @@ def judge(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
             out = _verdicts(b.column("text").to_pylist(), shared.value, keep_at)
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, t) for x, t in zip(columns, _KINDS, strict=True))], names=schema.names)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -173,5 +174,6 @@ def keep(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([v[6] for v in _verdicts(b.column("text").to_pylist(), shared.value, keep_at)], pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, cover_tree, jaccard, licenses, mixing, pii, quality, substring, token_shards, url_filter
 from keyloom.llm.common import Scratch, ship
+from keyloom.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary, pattern).drop("text"), vocabulary, pattern))
+    return bpe.digests(bpe.round_trip(docs, vocabulary, pattern))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.label_outcomes(_table(spark, sf_dir, "labels")))
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.label_outcomes(_table(spark, sf_dir, "labels")))
+    return judged.withColumn("reputation", F.round("reputation", 6))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 from keyloom.llm import bpe, token_shards
 from keyloom.llm.common import Scratch
-from keyloom.llm.pieces import USUAL, splitter
+from keyloom.llm.pieces import USUAL, HashMemory, PieceCoder, latin_pieces, splitter
+from keyloom.llm.shingles import distinct
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +34,17 @@ def test_pieces_equal_the_pattern():
             assert own(f.format(c)) == whole(f.format(c))
 
 
+def test_latin_pieces_equal_the_pattern():
+    own, r = regex.compile(PATTERN).findall, random.Random(3)
+    alphabet = ["a", "b", "s", "t", "re", "ll", "ve", "'", "'", "  ", " ", " ", "\n", "1", "22", "!", "é", "½", "\x85", "\xa0", "l", "v", "r", "e", "\x1c", "_"]
+    for _ in range(2000):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 4))]
+        joined = " ".join(texts) + " "
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+        a, b = latin_pieces(np.frombuffer(joined.encode("latin-1"), np.uint8), stops)
+        assert [joined[x:y] for x, y in zip(a, b)] == [p for t in texts for p in own(t)]
+
+
 def test_bpe_equals_library(docs, rows, empty):
     enc = _library()
     coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
@@ -43,11 +55,12 @@ def test_bpe_equals_library(docs, rows, empty):
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=repr)
-    assert bpe.digests(bpe.decode(bpe.encode(empty, RANKS, PATTERN), RANKS, PATTERN)).count() == 0
+    assert sorted(map(tuple, bpe.digests(bpe.round_trip(docs, RANKS, PATTERN)).collect()), key=repr) == got
+    assert bpe.digests(bpe.decode(bpe.encode(empty, RANKS, PATTERN), RANKS, PATTERN)).count() == 0 == bpe.round_trip(empty, RANKS, PATTERN).count()
 
 
 def test_edits_and_appends_equal_encoding_anew():
-    coder, _, _ = bpe.load(RANKS, PATTERN)
+    coder, _ = bpe.load(RANKS, PATTERN)
     enc, pattern, r = _library(), regex.compile(PATTERN), random.Random(1)
     for _ in range(150):
         d = bpe.Document(coder, pattern, "".join(r.choice(["ab", "'re", " ", "  ", "\n", "é", "12", "x'", " the"]) for _ in range(r.randint(0, 40))))
@@ -63,7 +76,7 @@ def test_edits_and_appends_equal_encoding_anew():
 
 
 def test_prefix_table_extends():
-    coder, _, _ = bpe.load(RANKS, PATTERN)
+    coder, _ = bpe.load(RANKS, PATTERN)
     piece = ("hello" * 60 + "a" * 200).encode()
     last = coder.table(piece[:137])
     coder.extend(piece, last, 137)
@@ -75,6 +88,8 @@ def test_shards_round_trip(spark, docs, rows, empty):
     scratch = Scratch(spark)
     shards = token_shards.write(docs, JSON, PATTERN, scratch, shard_ids=20_000)
     assert shards.count() > 5
+    whole = sorted((r["part"], r["shard"], r["at"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in token_shards.read(shards).collect())
+    assert whole == sorted((r["part"], r["shard"], r["at"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.checksums(shards).collect())
     got = sorted(map(tuple, token_shards.digests(shards).collect()), key=lambda r: r[1])
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
@@ -102,3 +117,35 @@ def test_grammar_random_access():
             assert np.array_equal(reader.slice(int(a), int(b)), ids[a:b])
     rules, seq = token_shards.compress(np.tile(np.array([1, 2, 3, 4], np.uint32), 1000), 10)
     assert len(seq) < 1000 and len(rules)
+
+
+def test_distinct_hashes():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 50, 5000):
+        for h in (r.integers(0, n // 3 + 2, n).astype(np.uint64), r.integers(0, n // 3 + 2, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
+            first, place = distinct(h)
+            assert (h[first][place] == h).all() and len(set(h.tolist())) == len(first)
+
+
+def test_memory_halves_and_stays_right():
+    r, m = np.random.default_rng(1), HashMemory(500)
+    held = {}
+    for _ in range(40):
+        h = np.unique(r.integers(1, 1 << 63, 90).astype(np.uint64))
+        h = h[m.find(h) < 0]
+        width = r.integers(0, 4, len(h))
+        ids = r.integers(0, 1 << 32, int(width.sum())).astype(np.uint32)
+        m.add(h, width, ids)
+        held.update(zip(h.tolist(), np.split(ids, np.cumsum(width)[:-1])))
+        slot = m.find(np.array(list(held), np.uint64))
+        assert (slot >= 0).sum() == m.held <= 500
+        for key, s in zip(list(held), slot.tolist()):
+            if s >= 0:
+                assert np.array_equal(m.store[m.at[s] : m.at[s] + m.width[s]], held[key])
+    m.add(np.arange(1, 2000, dtype=np.uint64), np.ones(1999, int), np.arange(1999).astype(np.uint32))
+    assert m.held <= 500
+    calls = []
+    c = PieceCoder(USUAL, lambda new: [calls.append(p) or np.array([len(p), ord(p[0])], "<u4").tobytes() for p in new], 20)
+    texts = ["a b c d", None, "", "x" * 9 + " a", "日本 a", " ".join(map(str, range(60))), "a b"]
+    for t, ids in zip(texts * 2, c.encode(texts * 2), strict=True):
+        assert ids.tolist() == [x for p in regex.findall(PATTERN, t or "") for x in (len(p), ord(p[0]))]
