@@ -28,7 +28,7 @@ from keyloom.llm.pieces import PieceCoder
 from keyloom.llm.shingles import release, trim
 
 #: Pieces, and pairs of tokens, that a worker remembers before it halves its memory of them.
-CACHE, PAIRS = 600_000, 250_000
+CACHE, PAIRS = 500_000, 250_000
 
 
 class PrefixCoder:

@@ -84,24 +84,19 @@ class Model:
 
 def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 200.0, l2: float = 1e-6) -> Model:
     """Full-batch gradient descent on mean n-gram frequencies; every fifth row is held out for calibration."""
-    rows = []
-    for t, hashes in zip(texts, hash_words(texts, lower=False), strict=True):
-        slots = grams(t.encode(), hashes)
-        rows.append(slots + [np.zeros(0, np.int64)] * (4 - len(slots)))
     y = np.array(good, float)
-    train = np.arange(len(rows)) % 5 != 0
+    train = np.arange(len(texts)) % 5 != 0
     if len(set(y[train])) < 2:
         return Model(np.zeros((4, 1 << BITS), np.float32), 0.0, 0.0, 30.0)
     balance = np.where(y == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
-    packed = []
-    for k in range(4):
-        at = np.concatenate([r[k] for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(r[k]) for r in rows])
-        code, n = np.unique(row * (1 << BITS) + at, return_counts=True)
-        row, at = code >> BITS, code & ((1 << BITS) - 1)
-        packed.append((row, at, n / np.array([max(len(r[k]), 1) for r in rows])[row]))
+    parts: list[list[tuple]] = [[], [], [], []]  # by kind: row, slots and frequencies of each text
+    for i, (t, hashes) in enumerate(zip(texts, hash_words(texts, lower=False), strict=True)):
+        for k, slots in enumerate(grams(t.encode(), hashes)):
+            at, n = np.unique(slots.astype(np.int32), return_counts=True)
+            parts[k].append((np.full(len(at), i, np.int32), at, (n / max(len(slots), 1)).astype(np.float32)))
+    packed = [tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*p, strict=True)) if p else (np.zeros(0, np.int32),) * 3 for p in parts]
     w, bias = np.zeros((4, 1 << BITS)), 0.0
-    z = lambda: bias + sum(np.bincount(r, w[k][a] * v, len(rows)) for k, (r, a, v) in enumerate(packed))
+    z = lambda: bias + sum(np.bincount(r, w[k][a] * v, len(texts)) for k, (r, a, v) in enumerate(packed))
     for _ in range(epochs):
         error = np.where(train, (1 / (1 + np.exp(-np.clip(z(), -30, 30))) - y) * balance, 0) / train.sum()
         for k, (r, a, v) in enumerate(packed):
