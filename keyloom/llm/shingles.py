@@ -109,6 +109,18 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return s
 
 
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k-word window at each of the starts, from running sums, whatever k."""
+    up, down = _powers.get(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    s = (sums[starts + k] - sums[starts]) * down[starts]
+    s ^= s >> np.uint64(29)
+    s *= P
+    s ^= s >> np.uint64(32)
+    return s
+
+
 def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct shingles; fewer than k words make one shingle, no words none."""
     if not len(hashes):
