@@ -3,7 +3,8 @@
 The patterns find protected entities (e-mail, IP, card and phone numbers). For the words near their mentions, corpus
 counts estimate how much of an entity's information a word gives away: PMI(word; entity) / IC(entity), where
 IC = log2(N / n_e) and PMI = log2(n_we N / (n_w n_e)), n_we counting the documents in which the word stands near the
-entity. Words beyond the first threshold are generalised to their class, beyond the second removed.
+entity. Words beyond the first threshold are generalised to their class, beyond the second removed. Every pair is
+scored, also that of an entity or word found in one document.
 
 All counts are over all documents. Pairs are (mention, one of the 2 * WINDOW words beside it), so they grow with the
 mentions, however often an entity or a word occurs.
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 from keyloom.llm.common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention, least documents of a pair, and the shares of an entity's information from which
-#: a word is generalised and removed.
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
+#: Words on each side of a mention, and the shares of an entity's information from which a word is generalised and
+#: removed.
+WINDOW, GENERALISE, REMOVE = 6, 0.6, 0.9
 #: Rows up to which a small side is broadcast; beyond, it is joined by shuffle.
 SMALL = 200_000
 
@@ -157,7 +158,7 @@ def risky_spans(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFram
     """(_k, terms): per row the disclosing words as sorted array of (start, end, removed)."""
     near = found.where(F.size("contexts") > 0).select("_k", F.explode("contexts").alias("c")).select("_k", "c.*")
     near = scratch.keep(near)
-    pairs = scratch.keep(near.where("first").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT))
+    pairs = scratch.keep(near.where("first").groupBy("entity", "term").agg(F.count("*").alias("n_both")))
     total = found.count()
     who = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = document_counts(docs, pairs.select("term").distinct())

@@ -60,6 +60,24 @@ def test_pii_disclosing_words(spark):
     assert (pii.GENERALISE <= share < pii.REMOVE) == ("[NAME] at" in clean[100])
 
 
+def test_pii_rare_entities(spark):
+    """Entities of one or two documents, each pair by brute force."""
+    from math import log2
+
+    texts = ["filler common talk of rooms"] * 60 + ["Jane Roe <jane@x.org> common talk", "call Ada Quill at +1 555 123 4567 common", "ask Ada Quill at +1 555 123 4567 for rooms", "rooms common talk of Roe"]
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    held = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
+    for docs in ([60], [61, 62]):
+        for i in docs:
+            own = []
+            for m in re.finditer(r"[A-Z]?[a-z]{3,}|Ada|Roe", texts[i].replace("<jane@x.org>", " " * 12)):
+                w = m[0].lower()
+                share = log2(sum(w in held[j] for j in docs) * len(texts) / (sum(w in h for h in held) * len(docs))) / log2(len(texts) / len(docs))
+                own += [f"term:{m.start()}:{m.end()}"] if share >= pii.GENERALISE else []
+            assert [x for x in spans[i].split(",") if x.startswith("term")] == own and len(own) >= 2
+    assert "term:0:4" in spans[60] and spans[63] == ""
+
+
 def _rules(t):
     words = re.findall(f"[^{SP}]+", t)
     three = Counter(zip(words, words[1:], words[2:]))
