@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index.
 
-The templates' words are indexed with template and position. For each file the licence words it holds that are rarest
-in the corpus are looked up; each occurrence votes for the place where a template would begin; votes of different
-words that agree within a few positions intersect to an alignment, which counts once its mandatory key phrase stands
-there word by word and enough of the template's words stand at their places.
+The templates are lists of words by position. For every template whose mandatory key phrase has all its
+words in the file, the phrase's word that is rarest in the corpus is looked up; where the phrase stands word by word,
+it votes for the place where the template would begin, as do the template's other words within a few positions of
+theirs. The alignment counts if enough of the template's words stand at their places. No template is left out for
+another's words.
 
 Cases: null text is the empty text (no words, empty labels, score 0); very long texts are scanned whole, in time
 linear in their length; repeated rows each give their row; an empty table gives no rows; extra columns are kept.
@@ -47,8 +48,8 @@ KEYS = {
     "apache-mention": "the apache license",
     "gpl-mention": "gnu general public license",
 }
-#: Rarest words looked up per file, positions by which votes may differ, and the least part of a template in place.
-RARE, SLACK, LEAST = 8, 4, 0.6
+#: Positions by which votes may differ, and the least part of a template in place.
+SLACK, LEAST = 4, 0.6
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
@@ -57,17 +58,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Templates by word, with positions, and the words' weights."""
+    """Templates and key phrases as words, and the words' weights."""
 
     def __init__(self, idf: dict[bytes, float], templates: dict[str, str] = TEMPLATES, keys: dict[str, str] = KEYS):
         self.templates = {n: t.encode().split() for n, t in templates.items()}
         self.keys = {n: k.encode().split() for n, k in keys.items()}
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        for n, t in self.templates.items():
-            for i, w in enumerate(t):
-                self.postings[w].append((n, i))
         self.idf = idf
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for t in self.templates.values() for w in t)
         self.key_start = {n: next(i for i in range(len(t)) if t[i : i + len(self.keys[n])] == self.keys[n]) for n, t in self.templates.items()}
         self.phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
 
@@ -91,27 +88,27 @@ class Index:
             if w in held:
                 at[w].append(i)
         places, base = self.base(words, at)
-        rare = sorted(held, key=lambda w: (-self.idf.get(w, math.inf), w))[:RARE]
-        votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
-        for w in rare:
-            for name, j in self.postings[w]:
-                for i in at[w]:
-                    votes[name, i - j].add(w)
         found, score = set(), 0.0
-        for (name, start), own in votes.items():
-            template, key = self.templates[name], self.keys[name]
-            want = min(3, len(set(template).intersection(rare)))
-            near = set().union(*(votes.get((name, start + d), ()) for d in range(-SLACK, SLACK + 1)))
-            if len(near) < want or name in found and score == 1.0:
+        for name, template in self.templates.items():
+            key = self.keys[name]
+            if not held.issuperset(key):
                 continue
-            k = start + self.key_start[name]
-            if not any(words[k + d : k + d + len(key)] == key for d in range(-SLACK, SLACK + 1) if k + d >= 0):
-                continue
-            hit = sum(any(0 <= start + j + d < len(words) and words[start + j + d] == w for d in range(-SLACK, SLACK + 1)) for j, w in enumerate(template))
-            part = hit / len(template)
-            if part >= LEAST:
+            rare = max(range(len(key)), key=lambda i: (self.idf.get(key[i], math.inf), -i))
+            best, tried = 0, set()
+            for i in at[key[rare]]:
+                k = i - rare
+                if k < 0 or words[k : k + len(key)] != key:
+                    continue
+                for start in range(k - self.key_start[name] - SLACK, k - self.key_start[name] + SLACK + 1):
+                    if start in tried or best == len(template):
+                        continue
+                    tried.add(start)
+                    if not any(words[start + j] == w for j, w in enumerate(template) if 0 <= start + j < len(words)):  # no vote
+                        continue
+                    best = max(best, sum(w in words[max(start + j - SLACK, 0) : max(start + j + SLACK + 1, 0)] for j, w in enumerate(template)))
+            if best / len(template) >= LEAST:
                 found.add(name)
-                score = max(score, part)
+                score = max(score, best / len(template))
         return places, base, found, score
 
 

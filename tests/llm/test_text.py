@@ -143,6 +143,16 @@ def test_license_notices(spark):
     assert "gpl" in got[2]["labels"].split(",") and got[3]["labels"] == "" and "apache" not in got[4]["labels"].split(",") and got[5]["labels"] == ""
 
 
+def test_license_several_in_a_file(spark):
+    """Every notice of a file is found beside every other and every mention, whatever words the others hold."""
+    t = licenses.TEMPLATES
+    full, mentions = [n for n in t if not n.endswith("-mention")], [n for n in t if n.endswith("-mention")]
+    files = [(a, b) for a in full for b in mentions] + [tuple(full), tuple(t)] + list(combinations(full, 2))
+    docs = spark.createDataFrame([(i, " and here follows some other prose ".join(t[n] for n in f)) for i, f in enumerate(files)], "doc_id bigint, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    assert [(f, set(f) - got[i]) for i, f in enumerate(files) if set(f) - got[i]] == []
+
+
 def _sets(rows):
     out = []
     for _, _, t in rows:
