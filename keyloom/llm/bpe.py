@@ -14,8 +14,8 @@ input are replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.pieces import PieceCoder
-from keyloom.llm.shingles import release, trim
+from keyloom.llm.shingles import held, release, trim
 
 #: Pieces, and pairs of tokens, that a worker remembers before it halves its memory of them.
-CACHE, PAIRS = 500_000, 250_000
+CACHE, PAIRS = 260_000, 120_000
+
+
+_LEAF: dict = {}
 
 
 class PrefixCoder:
@@ -39,50 +42,87 @@ class PrefixCoder:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.trie: dict = {}
+        self.trie: dict = {}  # byte -> [token that ends here or -1, the same below]
         for token, rank in ranks.items():
             node = self.trie
-            for byte in token:
-                node = node.setdefault(byte, {})
-            node[-1] = rank
+            for byte in token[:-1]:
+                below = node.get(byte)
+                if below is None:
+                    below = node[byte] = [-1, _LEAF]
+                if below[1] is _LEAF:
+                    below[1] = {}
+                node = below[1]
+            node.setdefault(token[-1], [-1, _LEAF])[0] = rank
+        self._longest = max(map(len, ranks))
         self._pairs: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging, lowest rank first: the definition that valid pairs refer to."""
+    def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
+        """Plain merging, lowest rank first, of ranks below a limit: the definition that valid pairs refer to."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of the last merge that makes this one; (-1, -1): it is a byte; None: merging never makes it."""
+        if token not in self._halves:
+            text, found = self.tokens[token], (-1, -1)
+            if len(text) > 1:
+                parts = self.merge(text, token)
+                found = (parts[0], parts[1]) if len(parts) == 2 else None
+            self._halves[token] = found
+        return self._halves[token]
+
     def valid(self, before: int, token: int) -> bool:
-        """Whether `before, token` may stand side by side; before = -1: whether token may stand first."""
+        """Whether `before, token` may stand side by side; before = -1: whether token may stand first.
+
+        Both are taken apart again, the merge that came last first. Of what then stands at the boundary, left and
+        right, no merge may come before the one taken back; of equal ones the left comes first.
+        """
         key = (before + 1) << 32 | token
         got = self._pairs.get(key)
         if got is None:
-            a, b = self.tokens[before] if before >= 0 else b"", self.tokens[token]
-            got = (not a or a + b not in self.ranks) and self.merge(a + b) == ([before, token] if a else [token])
             trim(self._pairs, PAIRS)
-            self._pairs[key] = got
+            got = self._pairs[key] = self.halves(token) is not None and (before < 0 or self._apart(before, token))
         return got
 
+    def _apart(self, a: int, b: int) -> bool:
+        if self.halves(a) is None:
+            return False
+        limit = 1 << 60
+        while True:
+            joined = self.ranks.get(self.tokens[a] + self.tokens[b])
+            if joined is not None and joined < limit:
+                return False
+            right, left = self.halves(a)[1], self.halves(b)[0]
+            if right < 0 and left < 0:
+                return True
+            if left < 0 or (right >= 0 and a > b):
+                limit, a = a, right
+            else:
+                limit, b = b + 1, left
+
     def extend(self, piece: bytes, last: list[int], start: int) -> list[int]:
         """last[i] is the last token of piece[:i]; fills it beyond `start`, to which it is known."""
-        n, valid, trie = len(piece), self.valid, self.trie
+        n, pairs, trie = len(piece), self._pairs, self.trie
         del last[start + 1 :]
         last += [-1] * (n - start)
-        longest = start and max(map(len, self.tokens))
-        for j in range(max(0, start - longest), n):
+        for j in range(max(0, start - self._longest) if start else 0, n):
             before, node = last[j], trie
+            key = (before + 1) << 32
             for k in range(j, n):
-                node = node.get(piece[k])
-                if node is None:
+                below = node.get(piece[k])
+                if below is None:
                     break
-                token = node.get(-1)
-                if token is not None and last[k + 1] < 0 and valid(before, token):
-                    last[k + 1] = token
+                token, node = below
+                if token >= 0 and last[k + 1] < 0:
+                    ok = pairs.get(key | token)
+                    if ok or (ok is None and self.valid(before, token)):
+                        last[k + 1] = token
         return last
 
     def table(self, piece: bytes) -> list[int]:
@@ -141,13 +181,15 @@ class Document:
         return [i for piece in self.ids for i in piece]
 
 
-@lru_cache(1)
 def load(path: str, pattern: str) -> tuple[PrefixCoder, PieceCoder]:
     """One per Python worker; the file lies on every node at the path given."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = PrefixCoder(ranks)
-    return coder, PieceCoder(pattern, lambda new: [np.array(coder.encode_piece(p.encode()), "<u4").tobytes() for p in new], CACHE)
+
+    def build() -> tuple[PrefixCoder, PieceCoder]:
+        with open(path, "rb") as f:
+            coder = PrefixCoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return coder, PieceCoder(pattern, lambda new: [array("I", coder.encode_piece(p.encode())).tobytes() for p in new], CACHE)
+
+    return held(("bpe", path, pattern), build)
 
 
 def _replaced(df: DataFrame, name: str) -> tuple[T.StructType, list[str]]:
@@ -164,8 +206,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
         for b in batches:
             ids = [x.astype("<u4").tobytes() for x in pieces.encode(b.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(ids, pa.binary())], names=schema.names)
-        del pieces
-        load.cache_clear()
         release()
 
     return df.mapInArrow(run, schema)
@@ -180,8 +220,6 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             got = [coder.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(got, pa.binary())], names=schema.names)
-        del coder
-        load.cache_clear()
         release()
 
     return df.mapInArrow(run, schema)
@@ -199,8 +237,6 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             ids = [x.astype("<u4", copy=False) for x in pieces.encode(b.column(text).to_pylist())]
             columns = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x.tolist()) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *columns], names=schema.names)
-        del coder, pieces
-        load.cache_clear()
         release()
 
     return df.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from keyloom.llm.shingles import distinct, span_hashes, trim
+from keyloom.llm.shingles import distinct, same_spans, span_hashes, trim
 
 #: Fixed value: the usual pattern of byte-level tokenizers.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,7 +98,7 @@ def latin_pieces(b: np.ndarray, stops: np.ndarray | None = None) -> tuple[np.nda
 
 
 class HashMemory:
-    """Hash -> ids, in plain arrays: an open-addressing table over one store of ids.
+    """Hash -> a piece's bytes and ids, in plain arrays: an open-addressing table over a store of bytes and one of ids.
 
     When `most` hashes are held, the first half stays: what came first came often.
     """
@@ -108,9 +108,11 @@ class HashMemory:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0: free
-        self.at, self.width = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        self.store, self.end, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        size = 1 << self.bits
+        self.keys = np.zeros(size, np.uint64)  # 0: free
+        self.at, self.width = np.zeros(size, np.int32), np.zeros(size, np.int32)  # of the ids
+        self.begin, self.length = np.zeros(size, np.int32), np.zeros(size, np.int32)  # of the bytes
+        self.store, self.end, self.text, self.text_end, self.held = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.uint8), 0, 0
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.intp)
@@ -126,42 +128,57 @@ class HashMemory:
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, width: np.ndarray, ids: np.ndarray) -> None:
-        """Distinct hashes that are not held, with the number of their ids, and all ids in that order."""
+    def equal(self, slot: np.ndarray, b: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the bytes held at each slot are b[start:start+n]."""
+        same = self.length[slot] == n
+        same[same] = same_spans(b, starts[same], self.text, self.begin[slot[same]].astype(np.int64), n[same])
+        return same
+
+    def add(self, h: np.ndarray, width: np.ndarray, ids: np.ndarray, length: np.ndarray, text: np.ndarray) -> None:
+        """Distinct hashes that are not held, with the numbers of their ids and bytes, and all of these in that order."""
         if self.held + len(h) > self.most:
             self._halve()
         if self.held + len(h) > self.most:  # more at once than half the memory takes
             n = self.most - self.held
-            h, width, ids = h[:n], width[:n], ids[: int(width[:n].sum())]
-        if self.end + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(ids)), np.uint32)])
+            h, width, ids, length, text = h[:n], width[:n], ids[: int(width[:n].sum())], length[:n], text[: int(length[:n].sum())]
+        self.store, self.text = _room(self.store, self.end + len(ids)), _room(self.text, self.text_end + len(text))
         self.store[self.end : self.end + len(ids)] = ids
-        at = self.end + np.cumsum(width) - width
+        self.text[self.text_end : self.text_end + len(text)] = text
+        at, begin = self.end + np.cumsum(width) - width, self.text_end + np.cumsum(length) - length
         slot, left = self._slots(h), np.arange(len(h))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             self.keys[slot[free]] = h[free]  # of those that want one slot, one gets it
             won = left[self.keys[slot[left]] == h[left]]
             self.at[slot[won]], self.width[slot[won]] = at[won], width[won]
+            self.begin[slot[won]], self.length[slot[won]] = begin[won], length[won]
             left = left[self.keys[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         self.end += len(ids)
+        self.text_end += len(text)
         self.held += len(h)
 
     def _halve(self) -> None:
         own = np.flatnonzero(self.keys)
-        own = own[np.argsort(self.at[own], kind="stable")][: self.most // 2]
-        h, width = self.keys[own], self.width[own].astype(np.int64)
+        own = own[np.argsort(self.begin[own], kind="stable")][: self.most // 2]
+        h, width, length = self.keys[own], self.width[own].astype(np.int64), self.length[own].astype(np.int64)
         ids = self.store[: int(self.at[own[-1]] + width[-1])].copy() if len(own) else self.store[:0]
+        text = self.text[: int(self.begin[own[-1]] + length[-1])].copy() if len(own) else self.text[:0]
         self._clear()
-        self.add(h, width, ids)
+        self.add(h, width, ids, length, text)
+
+
+def _room(store: np.ndarray, n: int) -> np.ndarray:
+    """The store, with room for n entries."""
+    return store if n <= len(store) else np.concatenate([store, np.zeros(max(n, 3 * len(store) // 2) - len(store), store.dtype)])
 
 
 class PieceCoder:
     """Texts -> ids, encoding each distinct piece once and remembering it within bounds.
 
-    Texts of code points below 256 are cut and looked up by 64-bit hashes of their pieces, a stretch of texts at a
-    time; any other text goes piece by piece. encode_new: pieces -> the bytes of their ids (unsigned 32-bit).
+    Texts of code points below 256 are cut and looked up by hashes of their pieces, a stretch of texts at a time; the
+    bytes are compared wherever hashes are equal, and a stretch in which equal hashes have different bytes goes piece by
+    piece, as any other text does. encode_new: pieces -> the bytes of their ids (unsigned 32-bit).
     """
 
     def __init__(self, pattern: str, encode_new: Callable[[list[str]], list[bytes]], memory: int):
@@ -206,27 +223,32 @@ class PieceCoder:
         b = np.frombuffer(data, np.uint8)
         stops = np.cumsum([len(x) + 1 for x in parts]) - 1
         starts, ends = latin_pieces(b, stops)
+        n = ends - starts
         h = span_hashes(b, starts, ends)
         h[h == 0] = 1
         first, place = distinct(h)
-        keys, known = h[first], self.known
+        if (n[first][place] != n).any() or not same_spans(b, starts, b, starts[first][place], n).all():
+            return [self._slow(x.decode("latin-1")) for x in parts]
+        keys, known, starts_d, n_d = h[first], self.known, starts[first], n[first]
         slot = known.find(keys)
         held, new = slot >= 0, np.flatnonzero(slot < 0)
+        if not known.equal(slot[held], b, starts_d[held], n_d[held]).all():
+            return [self._slow(x.decode("latin-1")) for x in parts]
         at, width = known.at[slot].astype(np.int64), known.width[slot].astype(np.int64)
         base, fresh = known.store, np.zeros(0, np.uint32)
         if len(new):
-            pieces = [data[s:e].decode("latin-1") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            pieces = [data[s:e].decode("latin-1") for s, e in zip(starts_d[new].tolist(), ends[first[new]].tolist(), strict=True)]
             got = self.encode_new(pieces)
             wide = np.fromiter(map(len, got), np.int64, len(got)) // 4
             fresh = np.frombuffer(b"".join(got), "<u4")
             at[new], width[new] = np.cumsum(wide) - wide, wide
-        n = width[place]
-        done = np.cumsum(n)
-        read = np.repeat(at[place] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)
-        old = np.repeat(held[place], n)
+        count = width[place]
+        done = np.cumsum(count)
+        read = np.repeat(at[place] - (done - count), count) + np.arange(int(done[-1]) if len(done) else 0)
+        old = np.repeat(held[place], count)
         out = np.empty(len(read), np.uint32)
         out[old], out[~old] = base[read[old]], fresh[read[~old]]
         if len(new):
-            known.add(keys[new], width[new], fresh)
+            known.add(keys[new], width[new], fresh, n_d[new], np.frombuffer("".join(pieces).encode("latin-1"), np.uint8))
         cuts = np.concatenate([[0], done])[np.searchsorted(starts, stops)]
         return np.split(out, cuts[:-1])

@@ -1,45 +1,36 @@
-"""Words and word shingles as 64-bit hashes, whole arrays at a time."""
+"""Words and word shingles as 64-bit hashes, whole arrays at a time.
+
+A word's hash is the sum of one random number for each of its bytes and their places (tabulation hashing), a longer
+word's is xxh3; a window's is the sum of its words' hashes, each times a random odd number of its place. Both differ
+for any two inputs but by a chance of about 2^-62, whatever their structure.
+"""
 
 from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 from itertools import islice
+from typing import Any
 
 import numpy as np
+import xxhash
 
 P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
-#: Bytes of texts that are hashed together.
-STRETCH = 1 << 18
+#: Bytes of texts that are hashed together, bytes of a word up to which the table is used, longest window.
+STRETCH, WIDTH, LONGEST = 1 << 18, 64, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SAME = np.arange(1, 257, dtype=np.uint64)  # no byte counts as 0
-_LOWER = _SAME.copy()
-_LOWER[65:91] += np.uint64(32)
-
-
-class _Powers:
-    """P ** i and its inverse, grown on demand."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, STRETCH * 2)
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]).astype(np.uint64)) for base in (P, _INVERSE))
-        return self.up, self.down
-
-
-_powers = _Powers()
+_random = np.random.Generator(np.random.PCG64(20_240_607))  # the same numbers in every worker
+_TABLE = _random.integers(0, 1 << 64, (WIDTH, 256), np.uint64)
+_LOWER_TABLE = _TABLE.copy()
+_LOWER_TABLE[:, 65:91] = _TABLE[:, 97:123]
+_PLACES = _random.integers(0, 1 << 63, LONGEST, np.uint64) * np.uint64(2) + np.uint64(1)
+_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def hash_words(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
-    """The hash of every word of each text, in order; words lie between spaces and \\t-\\r, A-Z count as a-z if lower.
-
-    A word's hash is its polynomial, taken as a difference of running sums and moved to power 0, then mixed.
-    """
+    """The hash of every word of each text, in order; words lie between spaces and \\t-\\r, A-Z count as a-z if lower."""
     out: list[np.ndarray] = []
     held: list[bytes] = []
     size = 0
@@ -52,26 +43,46 @@ def hash_words(texts: list[str | None], lower: bool = True) -> list[np.ndarray]:
     return out + (_stretch(held, lower) if held else [])
 
 
-def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _SAME) -> np.ndarray:
-    """The hash of each span of bytes; values: what each byte counts as."""
-    up, down = _powers.get(len(b) + 1)
-    sums = np.empty(len(b) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[b] * up[: len(b)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= h >> np.uint64(31)
-    h *= P
-    h += (ends - starts).astype(np.uint64)
-    h ^= h >> np.uint64(29)
-    h *= P
+def ragged(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, at): for the elements of spans of n > 0 elements from starts on, their places in their span and their
+    indexes, span after span."""
+    total = int(n.sum())
+    kind = np.int32 if total < 1 << 23 and int(starts.max()) < 1 << 30 else np.int64  # shifted by a byte, places still fit
+    place = np.arange(total, dtype=kind)
+    place -= np.repeat((np.cumsum(n) - n).astype(kind), n)
+    return place, place + np.repeat(starts.astype(kind), n)
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The hash of each span of bytes, none of them empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = ends - starts
+    short = np.minimum(n, WIDTH)
+    place, at = ragged(starts, short)
+    place <<= 8
+    place |= b[at]
+    h = np.add.reduceat((_LOWER_TABLE if lower else _TABLE).ravel()[place], np.cumsum(short) - short)
+    for i in np.flatnonzero(n > WIDTH).tolist():
+        word = b[starts[i] : ends[i]].tobytes()
+        h[i] = xxhash.xxh3_64_intdigest(word.translate(_TO_LOWER) if lower else word)
     return h
 
 
+def same_spans(a: np.ndarray, starts: np.ndarray, b: np.ndarray, others: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a[start:start+n] equals b[other:other+n], for each of the spans, none of them empty."""
+    if not len(n):
+        return np.zeros(0, bool)
+    place, at = ragged(starts, n)
+    place += np.repeat(others.astype(place.dtype), n)
+    return np.logical_and.reduceat(a[at] == b[place], np.cumsum(n) - n)
+
+
 def _stretch(parts: list[bytes], lower: bool) -> list[np.ndarray]:
     b = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[b], prepend=True))
     starts, ends = edge[::2], edge[1::2]
-    h = span_hashes(b, starts, ends, _LOWER if lower else _SAME)
+    h = span_hashes(b, starts, ends, lower)
     cuts = np.cumsum([len(x) + 1 for x in parts[:-1]])
     return np.split(h, np.searchsorted(starts, cuts))
 
@@ -99,22 +110,21 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k-word window in order."""
     n = len(hashes) - k + 1
-    s = hashes[:n].copy()
+    s = hashes[:n] * _PLACES[0]
     for i in range(1, k):
-        s *= P
-        s += hashes[i : i + n]
-    s ^= s >> np.uint64(29)
-    s *= P
-    s ^= s >> np.uint64(32)
-    return s
+        s += hashes[i : i + n] * _PLACES[i]
+    return _mixed(s)
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k-word window at each of the starts, from running sums, whatever k."""
-    up, down = _powers.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    s = (sums[starts + k] - sums[starts]) * down[starts]
+    """Hash of the k-word window at each of the starts."""
+    s = np.zeros(len(starts), np.uint64)
+    for i in range(k):
+        s += hashes[starts + i] * _PLACES[i]
+    return _mixed(s)
+
+
+def _mixed(s: np.ndarray) -> np.ndarray:
     s ^= s >> np.uint64(29)
     s *= P
     s ^= s >> np.uint64(32)
@@ -141,6 +151,24 @@ def trim(known: dict, most: int) -> None:
             del known[key]
 
 
+_held: dict = {}
+
+
+def held(key: tuple, build: Callable[[], Any]) -> Any:
+    """What build() makes, kept in this Python worker until something else is asked for: one operator's tables at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def let_go() -> None:
+    """At the start of a task that needs no tables: those of an earlier operator go."""
+    if _held:
+        _held.clear()
+        release()
+
+
 def release() -> None:
     """At a task's end: hand the worker's free memory back, for the worker waits for the next task of any operator."""
     gc.collect()

@@ -11,10 +11,10 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from keyloom.llm import bpe, token_shards
+from keyloom.llm import bpe, pieces, token_shards
 from keyloom.llm.common import Scratch
 from keyloom.llm.pieces import USUAL, HashMemory, PieceCoder, latin_pieces, splitter
-from keyloom.llm.shingles import distinct
+from keyloom.llm.shingles import distinct, hash_words, run_hashes, windows
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,72 @@ def test_latin_pieces_equal_the_pattern():
         assert [joined[x:y] for x, y in zip(a, b)] == [p for t in texts for p in own(t)]
 
 
+def thue_morse(bits):
+    """Two different words of 2 ** bits letters, each the other's complement: equal under any polynomial modulo 2^64."""
+    flips = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return "".join("ab"[x] for x in flips), "".join("ba"[x] for x in flips)
+
+
+STRUCTURED = [w for bits in range(10, 14) for w in thue_morse(bits)]
+
+
+def test_structured_words_differ():
+    for lower in (False, True):
+        assert len({int(h[0]) for h in hash_words(STRUCTURED, lower)}) == len(STRUCTURED)
+    for bits in range(2, 8):  # words in that order
+        a, b = hash_words([" ".join(w) for w in thue_morse(bits)])
+        assert windows(a, len(a)) != windows(b, len(b)) and run_hashes(a, np.zeros(1, int), len(a)) != run_hashes(b, np.zeros(1, int), len(b))
+
+
+def test_word_hashes_follow_words():
+    r = random.Random(5)
+    words = ["".join(r.choice("abAB é日") for _ in range(r.choice([1, 2, 5, 63, 64, 65, 90]))).replace(" ", "c") for _ in range(600)]
+    for lower in (False, True):
+        got = {}
+        for t, h in zip(words, hash_words(words, lower), strict=True):
+            got.setdefault("".join(chr(ord(c) + 32) if lower and "A" <= c <= "Z" else c for c in t), set()).add(int(h[0]))
+        assert all(len(v) == 1 for v in got.values()) and len(set().union(*got.values())) == len(got)
+    joined = hash_words([" ".join(words), None, "", " \t"])
+    assert joined[0].tolist() == [int(h[0]) for h in hash_words(words)] and [len(x) for x in joined[1:]] == [0, 0, 0]
+
+
+def test_equal_hashes_of_other_pieces(monkeypatch):
+    """With a hash that collides all the time the coder still tells pieces apart."""
+    monkeypatch.setattr(pieces, "span_hashes", lambda b, starts, ends: (ends - starts).astype(np.uint64))
+    enc = _library()
+    coder = PieceCoder(PATTERN, lambda new: [np.array(enc.encode_ordinary(p), "<u4").tobytes() for p in new], 100)
+    for texts in (["one two six"], ["ten"], ["one two", "", None, "four five nine"], ["seven", "eight"]):
+        assert [x.tolist() for x in coder.encode(texts)] == [enc.encode_ordinary(t or "") for t in texts]
+
+
+def test_structured_words_are_encoded_apart(spark):
+    texts = [*STRUCTURED, " ".join(STRUCTURED)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    enc, t = _library(), Tokenizer.from_file(JSON)
+    got = {r["doc_id"]: r for r in bpe.digests(bpe.round_trip(df, RANKS, PATTERN)).collect()}
+    shards = {r["doc_id"]: r["ids_crc32"] for r in token_shards.digests(token_shards.write(df, JSON, PATTERN, Scratch(spark))).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(enc.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert shards[i] == zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes())
+
+
+def test_valid_pairs_equal_merging():
+    """A pair may stand side by side exactly if merging leaves it, over pairs that do and that don't."""
+    coder, _ = bpe.load(RANKS, PATTERN)
+    r, seen = random.Random(2), [0, 0]
+    for _ in range(8000):
+        w = r.choice(coder.tokens) + r.choice(coder.tokens)[: r.randint(0, 3)]
+        cut = r.randint(1, max(1, len(w) - 1))
+        a, b = coder.ranks.get(w[:cut]), coder.ranks.get(w[cut:])
+        if a is not None and b is not None:
+            want = w not in coder.ranks and coder.merge(w) == [a, b]
+            assert coder.valid(a, b) == want
+            seen[want] += 1
+    assert min(seen) > 500
+    assert all(coder.valid(-1, i) == (coder.merge(t) == [i]) for i, t in enumerate(coder.tokens[::23]) for i in [coder.ranks[t]])
+
+
 def test_bpe_equals_library(docs, rows, empty):
     enc = _library()
     coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
@@ -92,7 +158,6 @@ def test_shards_round_trip(spark, docs, rows, empty):
     assert whole == sorted((r["part"], r["shard"], r["at"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.checksums(shards).collect())
     got = sorted(map(tuple, token_shards.digests(shards).collect()), key=lambda r: r[1])
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     by_id = {}
     for i, _, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -106,6 +171,32 @@ def test_shards_round_trip(spark, docs, rows, empty):
     assert token_shards.digests(token_shards.write(empty, JSON, PATTERN, scratch)).count() == 0
 
 
+def test_special_tokens_as_the_library(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "<|endoftext", "é日<|endoftext|> 's", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    t = Tokenizer.from_file(JSON)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_shards.digests(token_shards.write(df, JSON, PATTERN, Scratch(spark), shard_ids=4)).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_grammar_ends_when_no_pair_repeats(monkeypatch):
+    r = np.random.default_rng(4)
+    for few in (2, 64):
+        monkeypatch.setattr(token_shards, "FEW", few)
+        for i in range(120):
+            ids = r.integers(0, r.integers(1, 7), r.integers(0, 500)).astype(np.uint32) if i else np.tile(r.integers(0, 50, 37), 60).astype(np.uint32)
+            rules, seq = token_shards.compress(ids, 50)
+            at = {}
+            for k, pair in enumerate(zip(seq.tolist(), seq.tolist()[1:])):
+                at.setdefault(pair, []).append(k)
+            assert all(v[-1] - v[0] < 2 if a == b else len(v) == 1 for (a, b), v in at.items())
+            assert 2 * len(rules) <= len(ids)
+            assert sum(np.append(np.ones(50, int), token_shards.expansion_lengths(rules, 50))[seq]) == len(ids)
+
+
 def test_grammar_random_access():
     r = np.random.default_rng(0)
     for ids in (r.integers(0, 9, 5000), np.full(3000, 7), np.arange(100), np.zeros(0, int), np.tile([1, 2, 3], 500)):
@@ -135,14 +226,19 @@ def test_memory_halves_and_stays_right():
         h = h[m.find(h) < 0]
         width = r.integers(0, 4, len(h))
         ids = r.integers(0, 1 << 32, int(width.sum())).astype(np.uint32)
-        m.add(h, width, ids)
-        held.update(zip(h.tolist(), np.split(ids, np.cumsum(width)[:-1])))
+        length = r.integers(1, 9, len(h))
+        text = r.integers(0, 256, int(length.sum())).astype(np.uint8)
+        m.add(h, width, ids, length, text)
+        held.update(zip(h.tolist(), zip(np.split(ids, np.cumsum(width)[:-1]), np.split(text, np.cumsum(length)[:-1]), strict=True)))
         slot = m.find(np.array(list(held), np.uint64))
         assert (slot >= 0).sum() == m.held <= 500
         for key, s in zip(list(held), slot.tolist()):
             if s >= 0:
-                assert np.array_equal(m.store[m.at[s] : m.at[s] + m.width[s]], held[key])
-    m.add(np.arange(1, 2000, dtype=np.uint64), np.ones(1999, int), np.arange(1999).astype(np.uint32))
+                ids, text = held[key]
+                assert np.array_equal(m.store[m.at[s] : m.at[s] + m.width[s]], ids)
+                one, n = np.array([s]), np.array([len(text)])
+                assert m.equal(one, text, np.zeros(1, int), n).all() and not m.equal(one, text + np.uint8(1), np.zeros(1, int), n).any()
+    m.add(np.arange(1, 2000, dtype=np.uint64), np.ones(1999, int), np.arange(1999).astype(np.uint32), np.ones(1999, int), np.ones(1999, np.uint8))
     assert m.held <= 500
     calls = []
     c = PieceCoder(USUAL, lambda new: [calls.append(p) or np.array([len(p), ord(p[0])], "<u4").tobytes() for p in new], 20)
