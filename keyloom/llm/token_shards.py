@@ -1,15 +1,20 @@
 """Token-id files under Re-Pair grammar compression.
 
 Documents are range-partitioned by id, encoded in order, and cut into shards of about SHARD ids. In each shard the
-most frequent pairs of neighbouring symbols are replaced by nonterminals again and again; the shard stores the rules,
-the expansion length of every nonterminal, the remaining symbols and the documents' lengths. Expansion lengths make
-any slice of the ids readable without expanding what stands before it.
+most frequent pairs of neighbouring symbols are replaced by nonterminals again and again, until no pair stands twice;
+the shard stores the rules, the expansion length of every nonterminal, the remaining symbols and the documents'
+lengths. Expansion lengths make any slice of the ids readable without expanding what stands before it.
+
+Pairs are counted exactly. A round replaces every pair that is at least a SPREADth as frequent as the round's most
+frequent one, of pairs that overlap the more frequent one first, and then counts anew. Each rule takes two symbols or
+more out of the sequence, so a shard has fewer rules than half its ids.
 
 A shard is one row of a Parquet table, its payload a self-contained binary block: Spark's committers write it whole or
 not at all, on any file system that Spark reads, and a lost executor's shards are simply written again.
 
-Cases: null text is the empty text (the end id alone); a document longer than a shard makes a long shard; equal
-documents keep a row each, null doc_ids stand first; an empty table makes no shards; extra columns are not read.
+Cases: null text is the empty text (the end id alone); a text that holds a special token's string is encoded as the
+library does, by that token's id; a document longer than a shard makes a long shard; equal documents keep a row each,
+null doc_ids stand first; an empty table makes no shards; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,55 +33,91 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import Scratch
 from keyloom.llm.pieces import PieceCoder
+from keyloom.llm.shingles import held as held_by_worker, release
 
-#: Ids after which a shard is closed, rounds of replacement, pairs replaced a round, and the least count of a pair.
-SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 6, 1024, 16
+#: Ids after which a shard is closed.
+SHARD = 1 << 20
+#: Pairs of one round: the most frequent one's count over the least; below FEW, every pair that stands twice.
+SPREAD, FEW = 8, 64
+_BUCKETS = 20  # bits of the hash that leaves out pairs too rare for a round before the exact count
 #: Pieces that a worker remembers.
-CACHE = 1_500_000
-_BUCKETS = 18  # bits of the hash by which pairs are counted
+CACHE = 520_000
 _MAGIC, _HEAD = b"KLRP0001", struct.Struct("<8sIIIIQ")
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rules[k] is the pair that nonterminal first + k stands for.
+def _candidates(seq: np.ndarray) -> tuple[np.ndarray, int]:
+    """(places, least): places that hold all pairs of at least that count, and the least count of the round's pairs.
 
-    A round counts the pairs in hash buckets, takes the fullest buckets, and replaces in each the pair seen first.
+    A bucket holds at least as many places as each of its pairs, so places in emptier buckets need no exact count.
     """
-    seq, rules, made = ids.astype(np.uint32), [], 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        mixed = seq[:-1] * np.uint32(0x9E3779B1)
-        mixed += seq[1:] * np.uint32(0x85EBCA77)
-        mixed >>= np.uint32(32 - _BUCKETS)
-        counts = np.bincount(mixed, minlength=1 << _BUCKETS)
-        top = np.argpartition(counts, -per_round)[-per_round:]
-        top = top[counts[top] >= least]
-        if not len(top):
+    bucket = seq[:-1] * np.uint32(0x9E3779B1)
+    bucket += seq[1:] * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - _BUCKETS)
+    full = np.bincount(bucket, minlength=1 << _BUCKETS)
+    top = int(full.max())
+    least = 2 if top < FEW else max(top // SPREAD, 2)
+    return np.flatnonzero((full >= least)[bucket]), least
+
+
+def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, at, k, every): the pairs of at least that count, most frequent first; places without overlap of a pair
+    with itself, and the numbers of their pairs; every place of them.
+
+    Only a pair of one symbol can overlap itself: of a run of the symbol every second place counts.
+    """
+    left, right = seq[places], seq[places + 1]
+    code = left.astype(np.uint64) << np.uint64(32) | right
+    apart = np.ones(len(places), bool)
+    twins = np.flatnonzero(left == right)
+    if len(twins):
+        at = places[twins]
+        begins = np.ones(len(twins), bool)
+        begins[1:] = np.diff(at) > 1
+        apart[twins] = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0
+    ordered = np.sort(code[apart])
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], len(ordered) > 0))
+    count = np.diff(ends, prepend=-1)
+    ends, count = ends[count >= least], count[count >= least]
+    pairs, order = ordered[ends], np.argsort(-count, kind="stable")
+    if not len(pairs):
+        return pairs, places[:0], places[:0], places[:0]
+    k = np.searchsorted(pairs, code)
+    k[k == len(pairs)] = 0
+    own = pairs[k] == code
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs))
+    return pairs[order], places[own & apart], rank[k[own & apart]], places[own]
+
+
+def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rules[k] is the pair that nonterminal first + k stands for."""
+    seq, rules, made, watched = ids.astype(np.uint32), [], 0, None
+    while len(seq) >= 2:
+        places, least = _candidates(seq) if watched is None else (watched, 2)
+        pairs, at, k, every = _frequent(seq, places, least)
+        while not len(pairs) and least > 2:  # buckets of many rare pairs
+            least = max(least // SPREAD, 2)
+            pairs, at, k, every = _frequent(seq, np.arange(len(seq) - 1), least)
+        if not len(pairs):
             break
-        slot = np.full(1 << _BUCKETS, -1, np.int32)
-        slot[top] = np.arange(len(top))
-        k = slot[mixed]
-        at = np.flatnonzero(k >= 0)
-        k = k[at]
-        code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        pair = np.zeros(len(top), np.uint64)
-        pair[k[::-1]] = code[::-1]
-        hit = pair[k] == code
-        at, k = at[hit], k[hit]
-        # Of places that follow each other directly, every second is taken.
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = np.diff(at) > 1
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begin) % 2 == 0
-        at, k = at[take], k[take]
-        name = np.cumsum(np.bincount(k, minlength=len(top)) > 0)
-        used = np.flatnonzero(np.diff(name, prepend=0))
-        seq[at] = (first + made + name[k] - 1).astype(np.uint32)
+        # Of places that follow each other, those whose pair is more frequent than both neighbours' are taken.
+        near = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~near | (k[1:] < k[:-1])
+        wins[:-1] &= ~near | (k[:-1] < k[1:])
+        enough = np.bincount(k[wins], minlength=len(pairs)) >= 2  # one place alone is no rule
+        wins &= enough[k]
+        at, names, used = at[wins], np.cumsum(enough)[k[wins]], pairs[enough]
+        seq[at] = (first + made + names - 1).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        if least == 2:  # from now on only pairs with a new symbol, and this round's that were left, can stand twice
+            moved = np.cumsum(keep) - 1
+            new, left = moved[at], moved[every[keep[every] & keep[every + 1]]]
+            watched = np.unique(np.concatenate([new - 1, new, left]))
+            watched = watched[(watched >= 0) & (watched < moved[-1])]
         seq = seq[keep]
-        rules.append(np.stack([pair[used] >> np.uint64(32), pair[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += len(used)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
@@ -169,45 +210,61 @@ def _encode_pieces(tokenizer, width: np.ndarray, new: list[str]) -> list[bytes]:
     return [out[p] for p in new]
 
 
-@lru_cache(1)
-def coder(path: str, pattern: str) -> PieceCoder:
-    """The tokenizers library behind a memory of pieces, one per Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Coder:
+    """The tokenizers library behind a memory of pieces. Texts with a special token's string go to the library whole."""
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.first = max(vocabulary.values()) + 1  # the least id that no token has
+        width = np.zeros(self.first, np.int64)
+        for token, i in vocabulary.items():
+            width[i] = len(token)  # a character of a token is a byte
+        self.pieces = PieceCoder(pattern, partial(_encode_pieces, self.library, width), CACHE)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        whole = [bool(t) and any(x in t for x in self.special) for t in texts]
+        out = self.pieces.encode([None if w else t for t, w in zip(texts, whole, strict=True)])
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    width = np.zeros(max(t.get_vocab().values()) + 1, np.int64)
-    for token, i in t.get_vocab().items():
-        width[i] = len(token)  # a character of a token is a byte
-    return PieceCoder(pattern, partial(_encode_pieces, t, width), CACHE)
+def coder(path: str, pattern: str) -> Coder:
+    """One per Python worker; the file lies on every node at the path given."""
+    return held_by_worker(("shards", path, pattern), partial(Coder, path, pattern))
 
 
 SHARDS = "part int, shard int, n_ids long, doc_ids array<bigint>, block binary"
 
 
-def write(docs: DataFrame, path: str, pattern: str, scratch: Scratch, end_id: int = 0, first: int = 50257, shard_ids: int = SHARD) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, scratch: Scratch, end_id: int = 0, shard_ids: int = SHARD) -> DataFrame:
     """Stored shards of all documents (doc_id, text) in ascending doc_id order, each document ended by end_id."""
     end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, names, held, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, names, own, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal shard, names, held, n
-            row = {"part": [part], "shard": [shard], "n_ids": [n], "doc_ids": [names], "block": [write_shard(held, first)]}
-            shard, names, held, n = shard + 1, [], [], 0
+            nonlocal shard, names, own, n
+            row = {"part": [part], "shard": [shard], "n_ids": [n], "doc_ids": [names], "block": [write_shard(own, coder(path, pattern).first)]}
+            shard, names, own, n = shard + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(row[c], t) for c, t in (("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary()))], names=list(row))
 
         for b in batches:
             for name, ids in zip(b.column("doc_id").to_pylist(), coder(path, pattern).encode(b.column("text").to_pylist()), strict=True):
                 names.append(name)
-                held.append(np.append(ids, end))
-                n += len(held[-1])
+                own.append(np.append(ids, end))
+                n += len(own[-1])
                 if n >= shard_ids:
                     yield close()
-        if held:
+        if own:
             yield close()
+        release()
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     d = d.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
