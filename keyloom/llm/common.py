@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,9 +20,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is named (local tests)."""
+    """The shared folder named in spark.checkpoint.dir. Where none is named, a local master gets a temporary folder; on a
+    cluster that is an error, as other machines would not see such a folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_keyloom_scratch", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = spark._keyloom_scratch = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return named
 
@@ -80,6 +84,18 @@ class Scratch:
             pass
 
 
+def row_key() -> list:
+    """(_d, _k): names of a row (doc_id, text) by its content, 128 bits of which rows of one doc_id share 64."""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")).alias("_d"), F.xxhash64("doc_id", "text").alias("_k")]
+
+
+def clashes(rows: DataFrame, name: str, check: str) -> frozenset:
+    """Names (64-bit hashes) that stand for several values of a second, independent hash. Among n values n^2 / 2^65 are
+    expected, a few in 10^10; whoever gives names takes another hash for these."""
+    seen = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(check).alias("_low"), F.max(check).alias("_high"))
+    return frozenset(r[0] for r in seen.where("_low <> _high").select(name).collect())
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, connected_components
-from keyloom.llm.shingles import hash_words, release, shingle_set
+from keyloom.llm.common import Scratch, clashes, connected_components, row_key
+from keyloom.llm.shingles import check_of, hash_words, let_go, name_of, release, shingle_set
 
 #: Threshold as a fraction, words of a shingle.
 NUM, DEN, WORDS = 3, 4, 5
@@ -56,14 +55,11 @@ def _sets(texts: list[str | None]) -> list[np.ndarray]:
     return [shingle_set(h, WORDS) for h in hash_words(texts)]
 
 
-def class_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
 def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens (sorted) and their levels: repeats within stretches of the input, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
@@ -89,17 +85,19 @@ def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
 
 
-def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_k, doc_id, c, n, prefix): row name, class of the set (null without shingles), its size, its leading tokens."""
+def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], clash: frozenset = frozenset()) -> DataFrame:
+    """(_d, _k, doc_id, c, check, n, prefix): row name, class of the set (null without shingles) and a second hash of it,
+    its size, its leading tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, level = shared.value
         for b in batches:
-            cs, ns, flat, ends = [], [], [], [0]
+            cs, checks, ns, flat, ends = [], [], [], [], [0]
             for s in _sets(b.column("text").to_pylist()):
                 n = len(s)
-                cs.append(class_of(s) if n else None)
+                cs.append(name_of(s, clash) if n else None)
+                checks.append(check_of(s) if n else None)
                 ns.append(n)
                 take = n - int(least_overlap(n)) + slack(n) if n else 0
                 if n and len(token):
@@ -112,11 +110,11 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 ends.append(ends[-1] + min(take, n))
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("doc_id"), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), prefix], names=["_k", "doc_id", "c", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_k"), b.column("doc_id"), pa.array(cs, pa.int64()), pa.array(checks, pa.int64()), pa.array(ns, pa.int64()), prefix], names=["_d", "_k", "doc_id", "c", "check", "n", "prefix"])
         release()
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "_k long, doc_id bigint, c long, n long, prefix array<bigint>")
+    rows = docs.select(*row_key(), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "_d long, _k long, doc_id bigint, c long, check long, n long, prefix array<bigint>")
 
 
 def shared_tokens(signed: DataFrame) -> DataFrame:
@@ -162,16 +160,16 @@ def shared_tokens(signed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, c long, n long, leader long")
 
 
-def full_sets(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, tokens) of the asked classes, from the text of one row of each."""
+def full_sets(docs: DataFrame, signed: DataFrame, classes: DataFrame, clash: frozenset) -> DataFrame:
+    """(c, tokens) of the asked classes, from the text of one row of each; other rows of its name are seen and left out."""
     need = signed.select("c", "_k").join(classes, "c", "left_semi").groupBy("c").agg(F.min("_k").alias("_k"))
     small = classes.count() <= SMALL
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_k"), "text").join(F.broadcast(need) if small else need, "_k").select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in _sets(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(sets, pa.binary())], names=["c", "tokens"])
+            rows = [(c, s.tobytes()) for c, s in zip(b.column("c").to_pylist(), _sets(b.column("text").to_pylist()), strict=True) if len(s) and name_of(s, clash) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "tokens"])
 
     return rows.mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"])
 
@@ -234,7 +232,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _components(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(signed: DataFrame, docs: DataFrame, clash: frozenset, scratch: Scratch) -> DataFrame:
     """(c, root) for the classes that have links."""
     shared = scratch.keep(shared_tokens(signed))
     # Each class against the leaders of its tokens: the first links, which most of a group's others follow from.
@@ -243,7 +241,7 @@ def _components(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
     asked = scratch.keep(stars.where(2 * F.col("both") >= l_c).select("c", F.col("c").alias("root"), F.col("leader").alias("g")))
     leaders = asked.select("g").distinct().select("g", F.col("g").alias("c"), F.col("g").alias("root"))
     classes = scratch.keep(asked.select("c").unionByName(leaders.select("c")).distinct())
-    sets = scratch.keep(full_sets(docs, signed, classes))
+    sets = scratch.keep(full_sets(docs, signed, classes, clash))
     edges = scratch.keep(links(asked, leaders, sets))
     roots = scratch.keep(connected_components(edges, scratch).select(F.col("node").alias("c"), "root"))
     scratch.drop(sets, classes, asked)
@@ -266,44 +264,48 @@ def _components(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
     members = placed.select(F.col("own").alias("g"), "c", "root").join(asked.select("g").distinct(), "g", "left_semi")
     members = scratch.keep(members)
     classes = scratch.keep(asked.select("c").unionByName(members.select("c")).distinct())
-    sets = scratch.keep(full_sets(docs, signed, classes))
+    sets = scratch.keep(full_sets(docs, signed, classes, clash))
     more = scratch.keep(links(asked, members, sets))
     out = scratch.keep(connected_components(edges.unionByName(more), scratch).select(F.col("node").alias("c"), "root"))
     scratch.drop(shared, stars, edges, roots, placed, held, asked, members, classes, sets, more)
     return out
 
 
-def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed, placed): rows (_k, doc_id, c, n), and (_k, doc_id, n_shingles, component_id) of every document."""
+def components(docs: DataFrame) -> DataFrame:
+    """(_d, _k, doc_id, n_shingles, component_id, root) of every document (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = scratch.keep(signatures(docs, hot_tokens(docs)))
-    roots = _components(signed, docs, scratch)
-    rows = signed.select("_k", "doc_id", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    hot = hot_tokens(docs)
+    signed = scratch.keep(signatures(docs, hot))
+    clash = clashes(signed, "c", "check")
+    if clash:
+        signed = scratch.keep(signatures(docs, hot, clash))
+    roots = _components(signed, docs, clash, scratch)
+    rows = signed.select("_d", "_k", "doc_id", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     rows = scratch.keep(rows)
     names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    placed = rows.join(names, "root", "left").select("_k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
-    return signed, placed
+    return rows.join(names, "root", "left").select("_d", "_k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
-    return components(docs)[1].drop("_k", "root")
+    return components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id. Documents without shingles stay."""
-    scratch = Scratch(docs.sparkSession)
-    placed = scratch.keep(components(docs)[1])
-    names = placed.where("root IS NOT NULL")
-    chosen = names.groupBy("root").agg(F.min(F.struct("doc_id", "_k"))["_k"].alias("_best"), F.count("*").alias("_n"))
-    others = scratch.keep(names.select("root", "_k").distinct().join(chosen.where("_n > 1"), "root").select("_k", (F.col("_k") == F.col("_best")).alias("_stays")))
-    gone = others.where("NOT _stays").select("_k")
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
-    out = keyed.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "_k", "left_anti")
-    twice = names.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select("_k")
+    """docs with one document of each component: the smallest doc_id. Documents without shingles stay, and columns of
+    any name."""
+    scratch, key = Scratch(docs.sparkSession), ["_d", "_k"]
+    placed = scratch.keep(components(docs))
+    small = lambda rows: F.broadcast(rows) if rows.count() <= SMALL else rows
+    named = placed.where("root IS NOT NULL").groupBy("root", *key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    named = scratch.keep(named)
+    chosen = named.groupBy("root").agg(F.min(F.struct("doc_id", "_k", "_d")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    others = named.join(chosen, "root").where((F.col("_k") != F.col("_best._k")) | (F.col("_d") != F.col("_best._d")))
+    gone = scratch.keep(others.select(*key))
+    out = docs.select(F.struct(*docs.columns).alias("row"), *row_key()).join(small(gone), key, "left_anti")
+    twice = scratch.keep(named.where("copies > 1").select(*key).join(gone, key, "left_anti"))
     if not twice.isEmpty():  # equal rows: the one that stays is there more than once
-        repeated = scratch.keep(twice)
-        mark = out.join(F.broadcast(repeated) if repeated.count() <= SMALL else repeated, "_k", "left_semi").dropDuplicates(["_k"])
-        out = out.join(F.broadcast(repeated) if repeated.count() <= SMALL else repeated, "_k", "left_anti").unionByName(mark)
-    return out.drop("_k")
+        mark = out.join(small(twice), key, "left_semi").dropDuplicates(key)
+        out = out.join(small(twice), key, "left_anti").unionByName(mark)
+    return out.select("row.*")

@@ -144,6 +144,18 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     return s[keep]
 
 
+def name_of(values: np.ndarray, clash: frozenset = frozenset()) -> int:
+    """A signed 64-bit name for an array of values; one of `clash` stands for several and is replaced."""
+    raw = values.tobytes()
+    c = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+    return c if c not in clash else xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63)
+
+
+def check_of(values: np.ndarray) -> int:
+    """A second hash, independent of the name."""
+    return xxhash.xxh64_intdigest(values.tobytes(), 2) - (1 << 63)
+
+
 def trim(known: dict, most: int) -> None:
     """Halve a full memory. What came first came often, so the newest entries go."""
     if len(known) > most:
