@@ -7,8 +7,8 @@ and are counted without looking inside; only what remains is compared vector by
 
 The top of the tree comes from a bounded sample; every vector is then put into its cell, and its cell's true covering
 radius is taken over all members. Cells are cut into blocks; a vector goes, as a query, to the blocks of later cells
-that its distance to their centre cannot rule out. In each task the block's own tree meets the queries, chunk by
-chunk. Cells narrow enough link fully and need no comparison inside, so a hot group of near-equal vectors costs its
+that its distance to their centre cannot rule out. In each task the block's own tree meets the tree of each chunk of
+queries, both opened where they must be. Cells narrow enough link fully and need no comparison inside, so a hot group of near-equal vectors costs its
 size. Equal vectors are one node with a weight.
 
 In high dimension, vectors that are all about equally far apart cannot be pruned by any radius: the work among them
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, connected_components
+from keyloom.llm.common import Scratch, clashes, connected_components
 
 COSINE = 0.9
 #: Sampled vectors for the top of the tree; members of a block; queries that one task meets; queries of a chunk.
@@ -106,37 +106,38 @@ class CoverTree:
                 self._grow(child)
 
 
-def meet(tree: CoverTree, Q: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def meet(tree: CoverTree, asked: CoverTree, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(queries, members, whole): whole: every one links with every other; else the pairs, entry by entry.
 
-    Starts with the queries as one node; a node pair that neither bound settles is opened, and only the queries that
-    their own distance leaves in doubt go further down.
+    A dual traversal: a pair of nodes that neither bound settles is opened on the side of the larger radius, and only
+    pairs of leaves are compared, first each query with the node, then vector by vector.
     """
-    t, every = tau(cosine), np.arange(len(Q))
-    stack = [(tree.root, every)]
+    t, Q = tau(cosine), asked.X
+    stack = [(tree.root, asked.root)]
     Q32 = Q.astype(np.float32)
     while stack:
-        node, q = stack.pop()
-        if not len(q) or node.hi == node.lo:
+        node, own = stack.pop()
+        if own.hi == own.lo or node.hi == node.lo:
             continue
-        own = Q[q]
-        centre = own.mean(0)
-        radius = np.sqrt(((own - centre) ** 2).sum(1).max())
-        gap = np.sqrt(((centre - node.centre) ** 2).sum())
-        if gap > radius + node.radius + t + EPS:
+        gap = np.sqrt(((own.centre - node.centre) ** 2).sum())
+        if gap > own.radius + node.radius + t + EPS:
             continue
-        members = tree.order[node.lo : node.hi]
-        if gap + radius + node.radius <= t - EPS:
+        q, members = asked.order[own.lo : own.hi], tree.order[node.lo : node.hi]
+        if gap + own.radius + node.radius <= t - EPS:
             yield q, members, True
             continue
-        d = np.sqrt(np.maximum(((own - node.centre) ** 2).sum(1), 0))
+        if node.children and (not own.children or node.radius >= own.radius):
+            stack += [(c, own) for c in node.children]
+            continue
+        if own.children:
+            stack += [(node, c) for c in own.children]
+            continue
+        d = np.sqrt(np.maximum(((Q[q] - node.centre) ** 2).sum(1), 0))
         whole = d + node.radius <= t - EPS
         if whole.any():
             yield q[whole], members, True
         q = q[~whole & (d <= node.radius + t + EPS)]
-        if node.children:
-            stack += [(c, q) for c in node.children]
-        elif len(q):
+        if len(q):
             M = tree.X[members]
             a, b = np.nonzero(Q32[q] @ M.astype(np.float32).T >= cosine - 1e-5)
             exact = np.einsum("ij,ij->i", Q[q[a]], M[b]) >= cosine
@@ -153,7 +154,7 @@ class Links:
     def ask(self, Q: np.ndarray, weight: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(weight of links, a linked member or -1) of each query; own: the queries' places if they are members."""
         count, label = np.zeros(len(Q), np.int64), np.full(len(Q), len(self.label))
-        found = list(meet(self.tree, Q, self.cosine))
+        found = list(meet(self.tree, CoverTree(Q), self.cosine))
         for q, m, whole in found:
             if whole:
                 count[q] += self.weight[m].sum()
@@ -189,15 +190,17 @@ class Links:
 
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
-    """Unit rows, in double precision, of packed 32-bit vectors."""
-    X = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), dim).astype(np.float64)
+    """Unit rows, in double precision, of packed vectors of 32 or 64 bits a component."""
+    X = np.frombuffer(b"".join(raw), "<f4" if raw and len(raw[0]) == 4 * dim else "<f8").reshape(len(raw), dim).astype(np.float64)
     top = np.abs(X).max(1, keepdims=True)
     X /= np.where(top == 0, 1, top)
     return X / np.sqrt((X * X).sum(1, keepdims=True))
 
 
 def pack(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, vec): packed vectors, NULL where a vector cannot link."""
+    """(vec_id, dim, vec): packed vectors, in the precision of the column, NULL where a vector cannot link."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    packed = "<f4" if kind == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,13 +208,13 @@ def pack(vectors: DataFrame) -> DataFrame:
             for v in b.column("embedding"):
                 x = None
                 if v.is_valid and len(v.values) and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False).astype("<f4") + np.float32(0)
+                    x = v.values.to_numpy(zero_copy_only=False).astype(packed) + np.zeros(1, packed)  # no negative zero
                     x = x if np.isfinite(x).all() and x.any() else None
                 out.append(None if x is None else x.tobytes())
                 dims.append(None if x is None else len(x))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vec"])
 
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id bigint, dim int, vec binary")
 
 
@@ -342,6 +345,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession)
     packed = scratch.keep(pack(vectors).withColumn("h", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))))
+    clash = sorted(clashes(packed.withColumn("_check", F.xxhash64(F.lit(1), "vec")), "h", "_check"))
+    if clash:
+        packed = packed.withColumn("h", F.when(F.col("h").isin(clash), F.xxhash64(F.lit(1), "vec")).otherwise(F.col("h")))
     found = None
     for dim in sorted(r[0] for r in packed.where("dim IS NOT NULL").select("dim").distinct().collect()):
         nodes = scratch.keep(packed.where(F.col("dim") == dim).groupBy("h").agg(F.count("*").alias("w"), F.first("vec").alias("vec")))
