@@ -1,11 +1,11 @@
 """Quality rules: repetition and length rules, and a hashed n-gram logistic regression with calibrated probabilities.
 
-The model is trained here on a bounded sample of labelled rows: hashed counts of words, word pairs and byte 3- and
-4-grams, L2-normalised, logistic regression by gradient descent; a held-out part calibrates the logit (Platt). Every
-document is then scored whole, in Arrow batches, against a fixed threshold.
+The model is trained here on a bounded sample of labelled rows: hashed frequencies of words, word pairs and character
+3- and 4-grams (of code points), logistic regression by gradient descent; a held-out part calibrates the logit (Platt).
+Every document is then scored whole, in Arrow batches, against a fixed threshold.
 
 Cases: null text has no words (all counts 0, so the length rule fails it); rows without a label, or whose document is
-missing, do not train; with labels of one class only, the model keeps everything; very long texts are scored whole;
+missing or longer than LONGEST, do not train, and of rows with one doc_id one does; with labels of one class only, the model keeps everything; very long texts are scored whole;
 repeated rows each give their row; an empty table gives no rows; extra columns are kept.
 """
 
@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.shingles import hash_words, release, windows
+from keyloom.llm.shingles import hash_words, let_go, release, windows
 
-#: Rows of each class that train at most, bits of the feature hash, and the least calibrated probability that is kept.
-SAMPLE, BITS, KEEP_AT = 1000, 18, 0.3
+#: Rows of each class and characters of a row that train at most, bits of the feature hash, and the least calibrated
+#: probability that is kept.
+SAMPLE, LONGEST, BITS, KEEP_AT = 1000, 200_000, 18, 0.3
 #: The rules' limits.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -37,14 +38,17 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) & _MASK).astype(np.int64)
 
 
-def grams(data: bytes, words: np.ndarray) -> list[np.ndarray]:
-    """Feature slots by kind: words, word pairs, byte 3-grams, byte 4-grams."""
+def grams(text: str, words: np.ndarray) -> list[np.ndarray]:
+    """Feature slots by kind: words, word pairs, character 3-grams, character 4-grams."""
     out = [_slot(words), _slot(words[:-1] * np.uint64(31) + words[1:] + np.uint64(7))]
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(b) >= 4:
-        three = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
-        for g, salt in ((three, 0x9E3779B1), (three[:-1] << np.uint32(8) | b[3:], 0x85EBCA77)):
-            out.append(((g * np.uint32(salt)) >> np.uint32(32 - BITS)).astype(np.int64))
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(0x9E3779B1)
+    if len(c) >= 4:
+        c ^= c >> np.uint32(15)
+        three = c[:-2] * np.uint32(0x85EBCA77) + c[1:-1] * np.uint32(0xC2B2AE3D) + c[2:] * np.uint32(0x27D4EB2F)
+        for g in (three, three[:-1] * np.uint32(0x165667B1) + c[3:]):
+            g ^= g >> np.uint32(15)
+            g *= np.uint32(0x2C1B3C6D)
+            out.append((g >> np.uint32(32 - BITS)).astype(np.int64))
     return out
 
 
@@ -91,7 +95,7 @@ def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 200.0
     balance = np.where(y == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
     parts: list[list[tuple]] = [[], [], [], []]  # by kind: row, slots and frequencies of each text
     for i, (t, hashes) in enumerate(zip(texts, hash_words(texts, lower=False), strict=True)):
-        for k, slots in enumerate(grams(t.encode(), hashes)):
+        for k, slots in enumerate(grams(t, hashes)):
             at, n = np.unique(slots.astype(np.int32), return_counts=True)
             parts[k].append((np.full(len(at), i, np.int32), at, (n / max(len(slots), 1)).astype(np.float32)))
     packed = [tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*p, strict=True)) if p else (np.zeros(0, np.int32),) * 3 for p in parts]
@@ -121,7 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for q in (0, 1):
         one = clean.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = one if chosen is None else chosen.unionByName(one)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").collect()  # at most 2 * sample rows
+    found = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.collect()  # at most 2 * sample rows of at most LONGEST characters
     rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows}, key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
     rows = [r for q in (0, 1) for r in [x for x in rows if x[2] == q][:sample]]
     rows.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0]) + "order"))
@@ -140,7 +146,7 @@ def _verdicts(texts: list[str | None], model: Model, keep_at: float) -> list[tup
         data = text.encode()
         c = counts(data, text, hashes)
         failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
-        p = float(model.probability(grams(data, hashes)))
+        p = float(model.probability(grams(text, hashes)))
         out.append((*c, failed, not failed and p >= keep_at, p))
     return out
 
@@ -153,6 +159,7 @@ def judge(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             out = _verdicts(b.column("text").to_pylist(), shared.value, keep_at)
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
@@ -167,6 +174,7 @@ def keep(df: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             yield b.filter(pa.array([v[6] for v in _verdicts(b.column("text").to_pylist(), shared.value, keep_at)], pa.bool_()))
         release()

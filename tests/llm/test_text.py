@@ -32,7 +32,7 @@ def test_pii_base_spans(docs, rows, empty):
     got = pii.digests(pii.spans(docs))
     want = []
     for i, _, t in rows:
-        b = _plain_base(t or "") if len(t or "") < 40_000 else {k: [] for k in pii.KINDS}
+        b = _plain_base(t or "") if not set(t or "") <= {"x"} else {k: [] for k in pii.KINDS}  # where plain patterns take quadratic time
         s = ",".join(f"{k}:{x}:{y}" for k in pii.KINDS for x, y in b[k])
         want.append((i, *(len(b[k]) for k in pii.KINDS), hashlib.sha256(s.encode()).hexdigest()))
     assert _sorted(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want, key=repr)
@@ -48,12 +48,12 @@ def test_pii_disclosing_words(spark):
     t = texts[40][1]
     assert f"term:{t.index('Zarquon')}:{t.index('Zarquon') + 7}" in spans[100] and spans[100].startswith("email:")
     assert f":{t.index('common')}:" not in spans[100] and spans[200] == "" and spans[201] == ""
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs.drop("terms")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs.selectExpr("*", "1 AS _k", "2 AS _d", "3 AS row", "4 AS places", "5 AS `to`")).collect()}
     assert "zb@" not in clean[100] and "Zarquon" not in clean[100] and "common talk" in clean[100] and "[EMAIL]" in clean[100]
     assert clean[201] is None and clean[0] == texts[0][1]
     # brute-force counts
     n = len(texts)
-    word = Counter(w for _, x in texts for w in set(re.findall(r"[^\W\d_]{3,}", (x or "").lower())))
+    word = Counter(w for _, x in texts for w in set(re.findall(r"[^\W\d_]+", (x or "").lower())))
     from math import log2
 
     share = log2(5 * n / (word["blint"] * 5)) / log2(n / 5)
@@ -66,11 +66,11 @@ def test_pii_rare_entities(spark):
 
     texts = ["filler common talk of rooms"] * 60 + ["Jane Roe <jane@x.org> common talk", "call Ada Quill at +1 555 123 4567 common", "ask Ada Quill at +1 555 123 4567 for rooms", "rooms common talk of Roe"]
     spans = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    held = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
+    held = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
     for docs in ([60], [61, 62]):
         for i in docs:
             own = []
-            for m in re.finditer(r"[A-Z]?[a-z]{3,}|Ada|Roe", texts[i].replace("<jane@x.org>", " " * 12)):
+            for m in re.finditer(r"[A-Za-z]+", texts[i].replace("<jane@x.org>", " " * 12)):
                 w = m[0].lower()
                 share = log2(sum(w in held[j] for j in docs) * len(texts) / (sum(w in h for h in held) * len(docs))) / log2(len(texts) / len(docs))
                 own += [f"term:{m.start()}:{m.end()}"] if share >= pii.GENERALISE else []
@@ -78,6 +78,32 @@ def test_pii_rare_entities(spark):
     assert "term:0:4" in spans[60] and spans[63] == ""
 
 
+def test_pii_far_words_and_ladder(spark):
+    """Words beyond any number of characters, of one letter, at all places of a text; classes that give away less."""
+    long = "q" * 400
+    texts = [f"plain talk {w} of rooms" for w in ("zarat", "zarine", "zarodo", "zaruma", "zebra") for _ in range(8)]
+    texts += [f"Zarquon Li {long} {long} {long} to zb@mail.example {long} o\u00e9 X end. Then again Zarquon and Li of rooms"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    t, at = texts[-1], len(texts) - 1
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(docs).collect()}[at].split(",")
+    for w in ("Zarquon", "Li"):
+        assert all(f"term:{m.start()}:{m.end()}" in spans for m in re.finditer(w, t)) and t.count(w) == 2
+    assert f"term:{t.index(' X ') + 1}:{t.index(' X ') + 2}" in spans and f"term:{t.index('rooms')}:{t.index('rooms') + 5}" not in spans
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[at].startswith("Za* ") and "Zarquon" not in clean[at] and "Li" not in clean[at] and clean[0] == texts[0]
+
+
+def test_pii_in_long_texts(spark):
+    body = "lorem ipsum dolor " * 30_000
+    texts = [body + "reach me at ann@site.example or +1 (555) 123-4567 " + body + "10.0.0.7 and 4111 1111 1111 1111", body]
+    got = {r["doc_id"]: r for r in pii.digests(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()}
+    for i, t in enumerate(texts):
+        b = _plain_base(t)
+        s = ",".join(f"{k}:{x}:{y}" for k in pii.KINDS for x, y in b[k])
+        assert got[i]["base_sha256"] == hashlib.sha256(s.encode()).hexdigest()
+    assert tuple(got[0][f"n_{k}"] for k in pii.KINDS) == (1, 1, 1, 1)
+
+
 def _rules(t):
     words = re.findall(f"[^{SP}]+", t)
     three = Counter(zip(words, words[1:], words[2:]))
@@ -182,6 +208,16 @@ def _brute(rows):
     return [(d, len(sets[i]), names.get(find(i), d) if sets[i] else d) for i, (d, _, _) in enumerate(rows)]
 
 
+def test_structured_words_do_not_link(spark):
+    from tests.llm.test_tokens import thue_morse
+
+    rows = [(i, w) for i, w in enumerate(w for bits in range(10, 13) for w in thue_morse(bits))] + [(100 + i, " ".join(w)) for i, w in enumerate(thue_morse(7))]
+    want = _brute([(i, None, t) for i, t in rows])
+    assert _sorted(jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS _k", "2 AS _d", "3 AS root", "4 AS copies"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in want}) and len({c for _, _, c in want}) >= 7 and {"_k", "_d", "root", "copies"} <= set(kept.columns)
+
+
 def test_jaccard_components(spark, docs, rows, empty):
     assert _sorted(jaccard.join(docs), "doc_id", "n_shingles", "component_id") == sorted(_brute(rows), key=repr)
     assert jaccard.join(empty).count() == 0
