@@ -38,7 +38,7 @@ from keyloom.llm.shingles import held as held_by_worker, release
 #: Ids after which a shard is closed.
 SHARD = 1 << 20
 #: Pairs of one round: the most frequent one's count over the least; below FEW, every pair that stands twice.
-SPREAD, FEW = 8, 64
+SPREAD, FEW = 8, 256
 _BUCKETS = 20  # bits of the hash that leaves out pairs too rare for a round before the exact count
 #: Pieces that a worker remembers.
 CACHE = 520_000
@@ -59,14 +59,24 @@ def _candidates(seq: np.ndarray) -> tuple[np.ndarray, int]:
     return np.flatnonzero((full >= least)[bucket]), least
 
 
-def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, order): the pairs' codes in sorted order and where they stand; symbols have at most so many bits."""
+    code = left.astype(np.uint64) << np.uint64(bits) | right
+    room = np.uint64(max(len(code), 1).bit_length())
+    if 2 * bits + int(room) > 64:
+        order = np.argsort(code, kind="stable")
+        return code[order], order
+    both = np.sort(code << room | np.arange(len(code), dtype=np.uint64))
+    return both >> room, (both & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+
+
+def _frequent(seq: np.ndarray, places: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, at, k, every): the pairs of at least that count, most frequent first; places without overlap of a pair
     with itself, and the numbers of their pairs; every place of them.
 
     Only a pair of one symbol can overlap itself: of a run of the symbol every second place counts.
     """
     left, right = seq[places], seq[places + 1]
-    code = left.astype(np.uint64) << np.uint64(32) | right
     apart = np.ones(len(places), bool)
     twins = np.flatnonzero(left == right)
     if len(twins):
@@ -74,19 +84,21 @@ def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarr
         begins = np.ones(len(twins), bool)
         begins[1:] = np.diff(at) > 1
         apart[twins] = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0
-    ordered = np.sort(code[apart])
-    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], len(ordered) > 0))
-    count = np.diff(ends, prepend=-1)
-    ends, count = ends[count >= least], count[count >= least]
-    pairs, order = ordered[ends], np.argsort(-count, kind="stable")
-    if not len(pairs):
-        return pairs, places[:0], places[:0], places[:0]
-    k = np.searchsorted(pairs, code)
-    k[k == len(pairs)] = 0
-    own = pairs[k] == code
-    rank = np.empty(len(pairs), np.int64)
-    rank[order] = np.arange(len(pairs))
-    return pairs[order], places[own & apart], rank[k[own & apart]], places[own]
+    codes, order = _grouped(left, right, bits)
+    begin = np.flatnonzero(np.append(len(codes) > 0, codes[1:] != codes[:-1]))
+    size = np.diff(begin, append=len(codes))
+    count = np.add.reduceat(apart[order], begin, dtype=np.int64) if len(twins) else size
+    own = np.flatnonzero(count >= least)
+    if not len(own):
+        return np.zeros((0, 2), np.uint32), places[:0], places[:0], places[:0]
+    own = own[np.argsort(-count[own], kind="stable")]
+    rank = np.full(len(begin), -1, np.int32)
+    rank[own] = np.arange(len(own))
+    k = np.empty(len(places), np.int32)
+    k[order] = np.repeat(rank, size)
+    pair, hit = codes[begin[own]], k >= 0
+    pairs = np.stack([pair >> np.uint64(bits), pair & np.uint64((1 << bits) - 1)], 1).astype(np.uint32)
+    return pairs, places[hit & apart], k[hit & apart], places[hit]
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +106,11 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     seq, rules, made, watched = ids.astype(np.uint32), [], 0, None
     while len(seq) >= 2:
         places, least = _candidates(seq) if watched is None else (watched, 2)
-        pairs, at, k, every = _frequent(seq, places, least)
+        bits = (first + made).bit_length()
+        pairs, at, k, every = _frequent(seq, places, least, bits)
         while not len(pairs) and least > 2:  # buckets of many rare pairs
             least = max(least // SPREAD, 2)
-            pairs, at, k, every = _frequent(seq, np.arange(len(seq) - 1), least)
+            pairs, at, k, every = _frequent(seq, np.arange(len(seq) - 1), least, bits)
         if not len(pairs):
             break
         # Of places that follow each other, those whose pair is more frequent than both neighbours' are taken.
@@ -113,11 +126,12 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         keep[at + 1] = False
         if least == 2:  # from now on only pairs with a new symbol, and this round's that were left, can stand twice
             moved = np.cumsum(keep) - 1
-            new, left = moved[at], moved[every[keep[every] & keep[every + 1]]]
-            watched = np.unique(np.concatenate([new - 1, new, left]))
-            watched = watched[(watched >= 0) & (watched < moved[-1])]
+            mark = np.zeros(int(moved[-1]) + 2, bool)  # by the places to come, all one further
+            mark[moved[at]] = mark[moved[at] + 1] = True
+            mark[moved[every[keep[every] & keep[every + 1]]] + 1] = True
+            watched = np.flatnonzero(mark[1:-1])
         seq = seq[keep]
-        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(used)
         made += len(used)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
