@@ -1,8 +1,9 @@
 """Text commands over a stored keyspace: one command at a time, each running the set-oriented operators.
 
 State is a versioned Parquet table per type under one path, written by a single writer: a write makes a new immutable
-version of its table, then the pointer in this object moves. This is a convenience for trying commands and for scripts;
-bulk work belongs to the operators themselves, which take whole tables of requests.
+version of its table, then the pointer in this object moves. A client opened on a path that holds versions goes on from
+the last whole one of each table, and no version is ever written over. This is a convenience for trying commands and for
+scripts; bulk work belongs to the operators themselves, which take whole tables of requests.
 
 Replies: None for nil, int, float, str, list or dict. Errors are raised as CommandError.
 """
@@ -10,6 +11,7 @@ Replies: None for nil, int, float, str, list or dict. Errors are raised as Comma
 from __future__ import annotations
 
 import datetime
+import inspect
 import time
 from collections.abc import Callable
 
@@ -27,7 +29,7 @@ TABLES = {
     "zset": "db int, key string, member string, score double",
     "stream": "db int, key string, ms bigint, seq bigint, fields map<string,string>",
     "bitmap": "db int, key string, bit bigint",
-    "hll": "db int, key string, item string",
+    "hll": "db int, key string, sketch binary",
     "geo": "db int, key string, member string, lon double, lat double, score bigint",
     "expiry": "db int, key string, expire_at timestamp_ntz",
     "version": "db int, key string, version bigint",
@@ -67,9 +69,23 @@ class Client:
         self.current: dict[str, DataFrame] = {}
         self.writes, self.saved, self.log = 0, 0, True
         self.registry, self.transaction = scripts.ScriptRegistry(), tx.Transaction()
+        self._open()
 
     # State
 
+    def _open(self) -> None:
+        """Point to the last whole version of every table under the path."""
+        new = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = new(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in TABLES:
+            if not files.exists(new(f"{self.path}/{name}")):
+                continue
+            versions = sorted(n for n in (f.getPath().getName() for f in files.listStatus(new(f"{self.path}/{name}"))) if n.startswith("version="))
+            self.writes = max([self.writes, *(int(n.partition("=")[2]) for n in versions[-1:])])
+            whole = [n for n in versions if files.exists(new(f"{self.path}/{name}/{n}/_SUCCESS"))]
+            if whole:
+                self.current[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{whole[-1]}")
+
     def _now(self):
         return datetime.datetime.fromtimestamp(self.clock(), datetime.UTC).replace(tzinfo=None)
 
@@ -96,8 +112,11 @@ class Client:
 
     def _write(self, name: str, df: DataFrame, *touched: str) -> None:
         self.writes += 1
-        target = f"{self.path}/{name}/version={self.writes:012d}"
-        df.select([c.split()[0] for c in TABLES[name].replace("map<string,string>", "map").split(", ")]).coalesce(1).write.mode("overwrite").parquet(target)
+        new = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = new(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        while files.exists(new(target := f"{self.path}/{name}/version={self.writes:012d}")):  # of another client
+            self.writes += 1
+        df.select([c.split()[0] for c in TABLES[name].replace("map<string,string>", "map").split(", ")]).coalesce(1).write.mode("errorifexists").parquet(target)
         self.current[name] = self.spark.read.schema(TABLES[name]).parquet(target)
         if touched and name != "expiry":
             self._forget(name, touched)
@@ -855,17 +874,17 @@ class Client:
 
     def do_pfadd(self, key, *items):
         before = self.do_pfcount(key)
-        self._write("hll", self._t("hll").unionByName(self._rows("hll", [(self.db, key, i) for i in items])).distinct(), key)
+        new = hll.pfadd(self.spark.createDataFrame([(self.db, key, i) for i in items], "db int, key string, item string"), "item")
+        self._write("hll", self._others("hll", key).unionByName(hll.pfmerge(self._own("hll", key).unionByName(new), key)), key)
         return int(self.do_pfcount(key) != before)
 
     def do_pfcount(self, *names):
-        t = self._own("hll", *names)
-        row = hll.pfcount(hll.pfmerge(hll.pfadd(t, "item"), "all")).first()
+        row = hll.pfcount(hll.pfmerge(self._own("hll", *names), "all")).first()
         return row["estimate"] if row else 0
 
     def do_pfmerge(self, target, *names):
-        both = self._own("hll", target, *names).select("db", F.lit(target).alias("key"), "item")
-        self._write("hll", self._others("hll", target).unionByName(both).distinct(), target)
+        both = hll.pfmerge(self._own("hll", target, *names), target)
+        self._write("hll", self._others("hll", target).unionByName(both), target)
         return "OK"
 
     def do_geoadd(self, key, *args):
@@ -1026,14 +1045,15 @@ class Client:
         return self.saved
 
     def load(self, names=tuple(TABLES)) -> None:
-        """Start from the last snapshot."""
+        """Go on from the last snapshot: its tables become new versions, tables that it lacks become empty."""
         for name in names:
             try:
-                self.current[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/snapshot/{name}")
+                self._write(name, self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/snapshot/{name}"))
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-        self.writes = int(self.clock() * 1000)
+                if name in self.current:
+                    self._write(name, self._rows(name, []))
 
     def do_appendonly(self, state):
         self.log = state.lower() == "yes"
@@ -1173,9 +1193,17 @@ class Client:
         t = self.clock()
         return [int(t), int(t % 1 * 1_000_000)]
 
-    def do_command(self, sub="COUNT", *_):
-        names = [n[3:] for n in dir(self) if n.startswith("do_")]
-        return len(names) if sub.upper() == "COUNT" else names
+    def do_command(self, sub="COUNT", *names):
+        every = sorted(n[3:].upper() for n in dir(self) if n.startswith("do_"))
+        if sub.upper() == "COUNT":
+            return len(every)
+        if sub.upper() == "INFO":
+            return [command_info(n) if n.upper() in every else None for n in names or every]
+        if sub.upper() == "GETKEYS":
+            return command_keys(*names)
+        if sub.upper() == "LIST":
+            return every
+        raise CommandError(f"unknown subcommand '{sub}'")
 
     def do_debug(self, sub, key):
         return {"type": self.do_type(key), "encoding": self.do_object("ENCODING", key)}
@@ -1191,5 +1219,32 @@ class Client:
         return []
 
 
+#: Arguments that a repeated parameter of this name needs at least, and commands that differ.
+_AT_LEAST = {"pairs": 2, "names": 1, "values": 1, "members": 1, "fields": 1, "items": 1, "ids": 1, "channels": 1, "patterns": 1}
+_LEAST_OF = {"ZADD": 2, "GEOADD": 3, "XADD": 3, "EVAL": 0, "EVALSHA": 0}
+#: Names of first parameters that are keys.
+_KEYS = {"key", "names", "target", "source", "old", "first"}
+
+
+def command_info(name: str) -> list:
+    """[name, arity, flags, first key, last key, step] of a command, read from its handler: a negative arity is the least
+    number of words; a command that writes a table has the flag write."""
+    handler = getattr(Client, "do_" + name.lower())
+    given = list(inspect.signature(handler).parameters.values())[1:]
+    many = next((p.name for p in given if p.kind is p.VAR_POSITIONAL), None)
+    needed = 1 + sum(p.kind is p.POSITIONAL_OR_KEYWORD and p.default is p.empty for p in given)
+    least = needed + _LEAST_OF.get(name.upper(), _AT_LEAST.get(many, 0))
+    fixed = many is None and all(p.default is p.empty for p in given)
+    keyed = bool(given) and given[0].name in _KEYS
+    writes = any(x in handler.__code__.co_names for x in ("_write", "_drop", "_expire", "_store", "_add"))
+    return [name.upper(), least if fixed else -least, ["write" if writes else "readonly"], int(keyed), (-1 if many == "names" else 1) if keyed else 0, int(keyed)]
+
+
+def command_keys(name: str, *args: str) -> list[str]:
+    """The keys among a command's arguments."""
+    _, _, _, first, last, _ = command_info(name)
+    return list(args[first - 1 : None if last < 0 else last]) if first else []
+
+
 def _bumped(have: DataFrame, one: DataFrame) -> DataFrame:
     return have.unionByName(one).groupBy("db", "key").agg(F.sum("version").alias("version"))

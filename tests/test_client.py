@@ -88,3 +88,29 @@ def test_keys_server(c):
     again.load()
     assert again.execute("GET", "k2") == "moved"
     assert x("FLUSHALL") == "OK" and x("DBSIZE") == 0
+
+
+def test_reopened_path_goes_on(spark, tmp_path):
+    a = Client(spark, str(tmp_path))
+    a.execute("SET", "a", "1")
+    a.execute("RPUSH", "l", "x", "y")
+    b = Client(spark, str(tmp_path))
+    assert b.execute("GET", "a") == "1" and b.execute("LRANGE", "l", 0, -1) == ["x", "y"]
+    b.execute("SET", "b", "2")
+    c = Client(spark, str(tmp_path))
+    assert [c.execute("GET", k) for k in "ab"] == ["1", "2"]
+    c.execute("SAVE")
+    c.execute("SET", "a", "9")
+    c.load()
+    d = Client(spark, str(tmp_path))
+    assert [x.execute("GET", "a") for x in (c, d)] == ["1", "1"]
+
+
+def test_sketches_and_command_info(spark, tmp_path):
+    c = Client(spark, str(tmp_path))
+    assert c.execute("PFADD", "p", "a", "b", "a") == 1 and c.execute("PFADD", "p", "a") == 0 and c.execute("PFCOUNT", "p") == 2
+    c.execute("PFADD", "q", "b", "c")
+    assert c.execute("PFMERGE", "r", "p", "q") == "OK" and c.execute("PFCOUNT", "r") == 3 and c.execute("PFCOUNT", "p", "q") == 3
+    assert c._all("hll").columns == ["db", "key", "sketch"]
+    assert c.execute("COMMAND", "INFO", "get", "set", "nope") == [["GET", 2, ["readonly"], 1, 1, 1], ["SET", -3, ["write"], 1, 1, 1], None]
+    assert c.execute("COMMAND", "GETKEYS", "MGET", "a", "b") == ["a", "b"] and c.execute("COMMAND", "COUNT") == len(c.execute("COMMAND", "LIST"))
