@@ -32,10 +32,27 @@ def glob_regex(pattern: str, stop: str = "") -> str:
     return f"^{out}$"
 
 
+#: One element of a glob: an escaped character, a class, or any one character.
+_ELEMENT = r"(\\[\s\S]|\[\^?(?:\\[\s\S]|[^\]\\])+\]|[\s\S])"
+
+
 def glob_regex_column(pattern: Column) -> Column:
-    """The same for a pattern column without escapes: metacharacters quoted, then `*` and `?` opened."""
-    quoted = F.regexp_replace(pattern, r"([.+(){}|^$\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+    """The same for a pattern column, by the rules of path globs: `*` and `?` stop at a slash, `[^...]` negates, a
+    backslash quotes the next character. A pattern that is no glob (an open class, a backslash at the end) matches nothing."""
+    elements = F.regexp_extract_all(pattern, F.lit(_ELEMENT), F.lit(1))
+
+    def one(e: Column) -> Column:
+        quoted = F.regexp_replace(F.when(F.startswith(e, F.lit("\\")), F.substring(e, 2, 1)).otherwise(e), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1")
+        inside = F.regexp_replace(F.regexp_replace(e, r"([&~])", r"\\$1"), r"(?<!^)(?<!\\)\[", r"\\[")
+        return F.when(e == "*", "[^/]*").when(e == "?", "[^/]").when(F.startswith(e, F.lit("[")) & (F.length(e) > 1), inside).otherwise(quoted)
+
+    broken = F.exists(elements, lambda e: e.isin("[", "\\"))
+    return F.when(broken, "(?!)").otherwise(F.concat(F.lit("^(?:"), F.array_join(F.transform(elements, one), ""), F.lit(")\\z")))
+
+
+def glob_prefix_column(pattern: Column) -> Column:
+    """The literal characters that any match of a glob begins with: those before its first metacharacter."""
+    return F.regexp_extract(pattern, r"^([^*?\[\\]*)", 1)
 
 
 def slice_bounds(start: int, stop: int, n: Column) -> tuple[Column, Column]:

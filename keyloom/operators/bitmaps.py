@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from keyloom.model import KEY
 
 BIT = [*KEY, "bit"]
+#: Bytes of a bitmap whose positions one row makes.
+BLOCK = 4096
 
 
 def setbit(table: DataFrame, on: DataFrame | None = None, off: DataFrame | None = None) -> DataFrame:
@@ -51,10 +53,12 @@ def bitop(table: DataFrame, op: str, keys: list[str]) -> DataFrame:
 
 
 def bitnot(table: DataFrame, key: str) -> DataFrame:
-    """Clear bits of one bitmap up to the end of its last byte; positions come from a distributed range sized by its length."""
+    """Clear bits of one bitmap up to the end of its last byte. Its length is cut into blocks of BLOCK bytes, which are dealt
+    out before the positions in them are made."""
     own = table.where(F.col("key") == key)
     size = own.groupBy("db").agg((F.floor(F.max("bit") / 8) + 1).cast("bigint").alias("_bytes"))
-    each = size.select("db", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bytes") - 1)).alias("_byte"))
+    blocks = size.select("db", "_bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_bytes") - 1) / BLOCK))).alias("_block")).repartition("db", "_block")
+    each = blocks.select("db", F.explode(F.sequence(F.col("_block") * BLOCK, F.least(F.col("_block") * BLOCK + BLOCK, F.col("_bytes")) - 1)).alias("_byte"))
     every = each.select("db", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("_byte") * 8 + i)).alias("bit"))
     return every.join(own, ["db", "bit"], "left_anti")
 

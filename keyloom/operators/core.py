@@ -15,7 +15,8 @@ def live(meta: DataFrame, now: Column) -> DataFrame:
 
 
 def fold_last(log: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
-    """Last write wins per `by`: one partially aggregated max_by instead of a sort of the whole log."""
+    """Last write wins per `by`: one max_by, aggregated before the shuffle, so that a hot key is one row a task. Where
+    values are strings Spark sorts each task's rows by `by` for that; the log is never sorted as a whole."""
     rest = [c for c in log.columns if c not in by]
     return log.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
@@ -49,18 +50,32 @@ def lookup(requests: DataFrame, table: DataFrame, on: list[str], value: str, def
     return got.withColumn(value, F.coalesce(F.col(value), F.lit(default)) if default is not None else F.col(value))
 
 
-def scan(table: DataFrame, order: list[str], cursor: int = 0, count: int = 10, match: tuple[str, str] | None = None) -> DataFrame:
-    """Cursor page: offset and limit over a total order. match: (column, glob), applied before paging."""
+def scan(table: DataFrame, order: list[str], cursor: int = 0, count: int = 10, match: tuple[str, str] | None = None, after: tuple | None = None) -> DataFrame:
+    """A page over a total order; match: (column, glob), applied before paging.
+
+    after: the `order` values of the last row seen: such a page costs its own rows only, however deep it lies. cursor: a
+    number of rows to skip, for which all of them are read.
+    """
     if cursor < 0 or count < 1:
         raise ValueError("cursor must be >= 0 and count >= 1")
+    if after is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for c, v in zip(order, after, strict=True):
+            later, equal = later | (equal & (F.col(c) > v)), equal & (F.col(c) == v)
+        table = table.where(later)
     if match:
         table = table.where(F.col(match[0]).rlike(glob_regex(match[1])))
     return table.orderBy(*order).offset(cursor).limit(count)
 
 
+def shuffled(seed: int, *columns: str) -> Column:
+    """A pseudo-random order of rows, the same for the same seed on any engine: the MD5 of seed and columns."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+
+
 def sample_per_key(table: DataFrame, member: str, n: int, seed: int = 0, key: list[str] = KEY) -> DataFrame:
     """n pseudo-random members per key, the same for the same seed: ranks of a seeded hash."""
-    w = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *key, member), member)
+    w = Window.partitionBy(*key).orderBy(shuffled(seed, *key, member), member)
     return table.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.model import KEY
+from keyloom.operators.core import shuffled
 
 POLICIES = {"lru": ["last_access", "key"], "lfu": ["freq", "last_access", "key"], "ttl": ["expire_at", "key"], "random": None}
 
@@ -19,8 +19,8 @@ def evict(meta: DataFrame, policy: str, need_bytes: int, volatile: bool = False,
     if policy == "noeviction":
         return meta.where(F.lit(False))
     table = meta.where(F.col("expire_at").isNotNull()) if volatile or policy == "ttl" else meta
-    order = POLICIES[policy] or [F.xxhash64(F.lit(seed), "key"), F.col("key")]
-    lead = {"lru": F.unix_micros(F.col("last_access").cast("timestamp")), "ttl": F.unix_micros(F.col("expire_at").cast("timestamp")), "lfu": F.col("freq").cast("bigint"), "random": F.xxhash64(F.lit(seed), "key")}[policy]
+    order = POLICIES[policy] or [shuffled(seed, "key"), F.col("key")]
+    lead = {"lru": F.unix_micros(F.col("last_access").cast("timestamp")), "ttl": F.unix_micros(F.col("expire_at").cast("timestamp")), "lfu": F.col("freq").cast("bigint"), "random": F.conv(F.substring(shuffled(seed, "key"), 1, 8), 16, 10)}[policy]
     led = table.withColumn("_lead", lead.cast("double"))
     lo, hi = led.agg(F.min("_lead"), F.max("_lead")).first()
     if lo is None:

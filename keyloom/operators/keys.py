@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.text import glob_regex
 from keyloom.model import KEY
-from keyloom.operators.core import live
+from keyloom.operators.core import live, shuffled
 
 
 def delete(meta: DataFrame, keys: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def keys(meta: DataFrame, pattern: str, now: Column) -> DataFrame:
 
 
 def randomkey(meta: DataFrame, now: Column, seed: int = 0) -> DataFrame:
-    return live(meta, now).orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(1).select(*KEY)
+    return live(meta, now).orderBy(shuffled(seed, "key"), "key").limit(1).select(*KEY)
 
 
 def rename(meta: DataFrame, old: str, new: str) -> DataFrame:

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.text import glob_regex, glob_regex_column
+from keyloom.functions.text import glob_prefix_column, glob_regex, glob_regex_column
+
+
+#: Literal characters of a pattern by which it finds channel names.
+PREFIX = 8
 
 
 def routes(channels: DataFrame, subs: DataFrame) -> DataFrame:
-    """(channel, conn, kind, pattern) for distinct channels: exact ones by hash join; patterns against channel names,
-    which are few, never against messages."""
+    """(channel, conn, kind, pattern) for distinct channels: exact ones by hash join; patterns meet the channel names that
+    begin with their literal characters (PREFIX of them at most), also by equality, and never the messages."""
     names = channels.select("channel").distinct()
     exact = names.join(subs.where("kind = 'channel'"), F.col("channel") == F.col("pattern"))
-    glob = names.join(subs.where("kind = 'pattern'"), F.rlike("channel", glob_regex_column(F.col("pattern"))))
-    return exact.unionByName(glob).select("channel", "conn", "kind", "pattern")
+    globs = subs.where("kind = 'pattern'").withColumn("_prefix", F.substring(glob_prefix_column(F.col("pattern")), 1, PREFIX))
+    begun = names.select("channel", F.explode(F.sequence(F.lit(0), F.least(F.length("channel"), F.lit(PREFIX)))).alias("_n"))
+    begun = begun.select("channel", F.expr("substring(channel, 1, _n)").alias("_prefix"))
+    glob = begun.join(globs, "_prefix").where(F.rlike("channel", glob_regex_column(F.col("pattern"))))
+    out = ["channel", "conn", "kind", "pattern"]
+    return exact.select(out).unionByName(glob.select(out))
 
 
 def publish(messages: DataFrame, subs: DataFrame) -> DataFrame:

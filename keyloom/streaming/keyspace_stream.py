@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,11 @@ def reject_late(stream: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else (-1, -1)
         rows = pd.concat(list(batches)).sort_values(["event_id"])
-        keep = []
-        for ident in zip(rows["ms"], rows["seq"], strict=True):
-            keep.append(ident > last)
-            last = max(last, ident)
-        state.update(tuple(int(x) for x in last))
-        yield rows[keep][["key", "ms", "seq", "event_id"]]
+        ids = np.array([last, *rows[["ms", "seq"]].itertuples(index=False, name=None)], [("ms", "i8"), ("seq", "i8")])
+        found, rank = np.unique(ids, return_inverse=True)
+        top = np.maximum.accumulate(rank)  # of the ids so far
+        state.update(tuple(int(x) for x in found[top[-1]]))
+        yield rows[rank[1:] > top[:-1]][["key", "ms", "seq", "event_id"]]
 
     return stream.groupBy("key").applyInPandasWithState(step, ENTRY, "ms long, seq long", "append", GroupStateTimeout.NoTimeout)
 
@@ -45,7 +45,7 @@ def consumer_group(stream: DataFrame, consumers: int) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         dealt = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ms", "seq"])
-        rows = rows.assign(consumer=[(dealt + i) % consumers for i in range(len(rows))])
+        rows = rows.assign(consumer=(dealt + np.arange(len(rows))) % consumers)
         state.update((dealt + len(rows),))
         yield rows[["key", "ms", "seq", "event_id", "consumer"]]
 

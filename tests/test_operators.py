@@ -210,3 +210,37 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out3")).count() == 10
     ss.run_available(ss.counts(ss.tail(spark, src)), str(tmp_path / "ck4"), "lengths", "complete")
     assert {r["key"]: r["length"] for r in spark.table("lengths").collect()} == {"a": 4, "b": 2}
+
+
+def test_glob_columns_follow_the_rules_of_path_globs(spark):
+    from keyloom.functions.text import glob_prefix_column, glob_regex_column
+
+    cases = [
+        ("[^a]*", "bcd", True), ("[^a]*", "abc", False), ("\\*x", "*x", True), ("\\*x", "ax", False), ("a*", "a/b", False), ("a?c", "a/c", False), ("a[b-d]", "ac", True), ("a[^b-d]", "ac", False),
+        ("a[", "a[", False), ("a\\", "a\\", False), ("[]a]", "]", False), ("[\\]]", "]", True), ("a.b", "axb", False), ("(x|y)+", "(x|y)+", True), ("[a&&b]", "&", True), ("[[x]", "[", True), ("", "", True), ("", "a", False), ("*", "x\n", True), ("é*", "éa", True), ("[a^]", "^", True), ("{1}$^", "{1}$^", True),
+    ]
+    df = spark.createDataFrame(cases, "pattern string, name string, want boolean")
+    got = df.select("pattern", "name", "want", F.rlike("name", glob_regex_column(F.col("pattern"))).alias("got"), glob_prefix_column(F.col("pattern")).alias("prefix")).collect()
+    assert [r for r in got if r["got"] != r["want"]] == []
+    assert all(not r["want"] or r["name"].startswith(r["prefix"]) for r in got)
+
+
+def test_routes_find_names_by_prefix_and_without(spark):
+    from keyloom.operators import pubsub
+
+    names = ["news.sport", "news.art", "new", "x", "verylongchannelname1", "verylongchannelname2"]
+    subs = [("a", "pattern", p) for p in ("news.*", "*", "verylongchannelname[^1]", "new?", "[^n]*", "x")] + [("b", "channel", "x")]
+    got = {(r["channel"], r["pattern"], r["kind"]) for r in pubsub.routes(spark.createDataFrame([(n,) for n in names], "channel string"), spark.createDataFrame(subs, "conn string, kind string, pattern string")).collect()}
+    want = {(n, "*", "pattern") for n in names} | {("news.sport", "news.*", "pattern"), ("news.art", "news.*", "pattern"), ("verylongchannelname2", "verylongchannelname[^1]", "pattern"), ("x", "x", "pattern"), ("x", "x", "channel")}
+    assert got == want | {(n, "[^n]*", "pattern") for n in names if n[0] != "n"}
+
+
+def test_scan_by_last_row_seen(spark):
+    from keyloom.operators import core
+
+    df = spark.createDataFrame([(i % 5, f"m{i:03d}") for i in range(200)], "score int, member string")
+    pages, last = [], None
+    while page := core.scan(df, ["score", "member"], count=30, match=("member", "m*"), after=last).collect():
+        pages += [tuple(r) for r in page]
+        last = pages[-1]
+    assert pages == sorted(map(tuple, df.collect()))
