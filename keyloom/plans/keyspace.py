@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import functions as F
 
+from keyloom.client import command_info
 from keyloom.operators import core, evict, keys, pubsub, scripts, tx
-from keyloom.registry import REGISTRY, query
+from keyloom.registry import query
 from keyloom.sources import snapshot
 
 T = "TIMESTAMP '1997-01-01 00:00:00'"
@@ -31,7 +35,7 @@ def _(ks):
     return keys.keys(ks.meta, "order:1?5*", ks.now).select("key")
 
 
-@query("randomkey")
+@query("randomkey", "SELECT key FROM live ORDER BY md5('0:' || key), key LIMIT 1", "meta live")
 def _(ks):
     return keys.randomkey(ks.meta, ks.now).select("key")
 
@@ -113,7 +117,7 @@ for _policy, _order, _where in (("lru", "last_access, key", ""), ("lfu", "freq,
         return evict.evict(ks.meta, policy, 20000).select("key")
 
 
-@query("evict_random")
+@query("evict_random", _VICTIMS.format("md5('0:' || key), key", ""), "meta")
 def _(ks):
     return evict.evict(ks.meta, "random", 20000).select("key")
 
@@ -138,9 +142,49 @@ def _(ks):
     return tx.versions(ks.changes).select("key", "version")
 
 
+def _stored(ks) -> str:
+    return f"{snapshot.scratch_dir(ks.spark)}/saved-{uuid.uuid4().hex}"
+
+
+@query("save", "SELECT key, value FROM counters", "counters")
+def _(ks):
+    """What a snapshot gives back."""
+    path = _stored(ks)
+    snapshot.save(ks.counters, path, 1)
+    return snapshot.load(ks.spark, path).select("key", "value")
+
+
+@query("bgsave", "SELECT key, value FROM counters WHERE value > 0", "counters")
+def _(ks):
+    """The latest of two snapshots, the second from a driver thread."""
+    path = _stored(ks)
+    snapshot.save(ks.counters, path, 1)
+    snapshot.bgsave(ks.counters.where("value > 0"), path, 2).result()
+    return snapshot.load(ks.spark, path).select("key", "value")
+
+
+@query("lastsave", "SELECT CAST(2 AS BIGINT) AS version, true AS at_its_time")
+def _(ks):
+    path, began = _stored(ks), int(time.time())
+    for version in (1, 2):
+        snapshot.save(ks.strings, path, version)
+    return snapshot.lastsave(ks.spark, path).select("version", F.col("saved_at").between(began, int(time.time())).alias("at_its_time"))
+
+
+@query("appendonly", _STATE, "changes")
+def _(ks):
+    """State from a log appended to in two parts."""
+    log = snapshot.ChangeLog(_stored(ks))
+    for odd in (0, 1):
+        log.append(ks.changes.where(F.col("seq") % 2 == odd))
+    return log.replay(ks.spark).select("key", "value")
+
+
 # Pub/sub
 
-_MATCH = "((s.kind = 'channel' AND s.pattern = e.channel) OR (s.kind = 'pattern' AND regexp_full_match(e.channel, replace(replace(s.pattern, '*', '[^/]*'), '?', '[^/]'))))"
+#: The two patterns with escapes, and the one that is no pattern, as the regular expressions that they stand for.
+_REGEX = r"CASE s.pattern WHEN '\*lick' THEN '\*lick' WHEN 'v[iI]e\w' THEN 'v[iI]ew' WHEN 'cl[ick' THEN '[^\s\S]' ELSE replace(replace(s.pattern, '*', '[^/]*'), '?', '[^/]') END"
+_MATCH = f"((s.kind = 'channel' AND s.pattern = e.channel) OR (s.kind = 'pattern' AND regexp_full_match(e.channel, {_REGEX})))"
 
 
 @query("publish", f"SELECT e.event_id, CAST(count(*) FILTER (WHERE s.kind = 'channel') AS BIGINT) AS channel_receivers, CAST(count(*) FILTER (WHERE s.kind = 'pattern') AS BIGINT) AS pattern_receivers FROM (SELECT event_type AS channel, event_id FROM events) e LEFT JOIN subs s ON {_MATCH} GROUP BY e.event_id", "subs")
@@ -208,6 +252,40 @@ def _(ks):
     return tx.exec_(queued, seen, current).select("key", "seq", "value")
 
 
+def _raised(ks, t: tx.Transaction):
+    """Two queued steps: every counter plus one, those below 100 removed."""
+    t.multi()
+    t.add(lambda state: state.withColumn("value", F.col("value") + 1))
+    t.add(lambda state: state.where("value >= 100"))
+    return t
+
+
+_RAISED = "SELECT key, value + 1 AS value FROM counters WHERE value + 1 >= 100"
+
+
+@query("multi", _RAISED, "counters")
+def _(ks):
+    return _raised(ks, tx.Transaction()).exec(ks.counters, {}).select("key", "value")
+
+
+@query("discard", "SELECT key, value FROM counters", "counters")
+def _(ks):
+    """Discarded steps leave no trace in the next transaction."""
+    t = _raised(ks, tx.Transaction())
+    t.discard()
+    t.multi()
+    return t.exec(ks.counters, {}).select("key", "value")
+
+
+@query("unwatch", _RAISED, "counters")
+def _(ks):
+    """A watched key that moved does not matter after UNWATCH."""
+    t = tx.Transaction()
+    t.watch({"cust:1": 1})
+    t.unwatch()
+    return _raised(ks, t).exec(ks.counters, {"cust:1": 2}).select("key", "value")
+
+
 # Scripts and server
 
 _BODY = "SELECT key, value FROM {strings} WHERE array_contains(:keys, key) OR value = :argv[0]"
@@ -225,6 +303,15 @@ def _(ks):
     return r.evalsha(ks.spark, r.load(_BODY), ["part:1", "part:2"], ["red widget"], strings=ks.strings)
 
 
+@query("script", "SELECT * FROM (VALUES ('loaded', 1), ('unknown', 0), ('flushed', 0)) t(what, n)")
+def _(ks):
+    r = scripts.ScriptRegistry()
+    sha = r.load(_BODY)
+    found = [("loaded", *r.exists(sha)), ("unknown", *r.exists("0" * 40))]
+    r.flush()
+    return ks.spark.createDataFrame([*found, ("flushed", *r.exists(sha))], "what string, n int")
+
+
 @query("ping", "SELECT 'PONG' AS reply")
 def _(ks):
     return ks.spark.range(1).select(F.lit("PONG").alias("reply"))
@@ -255,6 +342,11 @@ def _(ks):
     return ks.spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us")).select(F.floor(F.col("us") / 1_000_000).alias("seconds"), (F.col("us") % 1_000_000).alias("micros"))
 
 
-@query("command")
+#: Name, arity, first key, last key and step of some commands.
+_INFO = [("GET", 2, 1, 1, 1), ("SET", -3, 1, 1, 1), ("MGET", -2, 1, -1, 1), ("HGET", 3, 1, 1, 1), ("HSET", -4, 1, 1, 1), ("LPUSH", -3, 1, 1, 1), ("LRANGE", 4, 1, 1, 1), ("SADD", -3, 1, 1, 1), ("SINTER", -2, 1, -1, 1), ("ZADD", -4, 1, 1, 1), ("ZSCORE", 3, 1, 1, 1), ("DEL", -2, 1, -1, 1), ("EXPIRE", 3, 1, 1, 1), ("TTL", 2, 1, 1, 1), ("PING", -1, 0, 0, 0)]
+
+
+@query("command", f"SELECT * FROM (VALUES {', '.join(map(str, _INFO))}) t(name, arity, first_key, last_key, step)")
 def _(ks):
-    return ks.spark.createDataFrame([(q.name, q.oracle is not None) for q in REGISTRY.values()], "name string, has_oracle boolean")
+    rows = [(i[0], i[1], *i[3:]) for i in (command_info(x[0]) for x in _INFO)]
+    return ks.spark.createDataFrame(rows, "name string, arity int, first_key int, last_key int, step int")

@@ -213,7 +213,7 @@ def _(ks):
     return core.scan(ks.hashes.where("key = '899'"), ["field"], 0, 3, ("field", "1*")).select("field", "value")
 
 
-@query("hrandfield")
+@query("hrandfield", "SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:0:' || key || ':' || field), field) AS rn FROM hashes) WHERE rn <= 2", "hashes")
 def _(ks):
     return core.sample_per_key(ks.hashes, "field", 2).select("key", "field", "value")
 
@@ -317,12 +317,12 @@ def _(ks):
     return sets.srem(ks.sets, _news(ks)).select("key", "member")
 
 
-@query("spop")
+@query("spop", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('1:0:' || key || ':' || member), member) AS rn FROM sets) WHERE rn <= 1", "sets")
 def _(ks):
     return core.sample_per_key(ks.sets, "member", 1, seed=1).select("key", "member")
 
 
-@query("srandmember")
+@query("srandmember", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('2:0:' || key || ':' || member), member) AS rn FROM sets) WHERE rn <= 3", "sets")
 def _(ks):
     return core.sample_per_key(ks.sets, "member", 3, seed=2).select("key", "member")
 

@@ -27,7 +27,7 @@ VIEWS = {
     "meta": "SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate + INTERVAL 90 DAY END AS expire_at, o_orderdate AS last_access, CAST(o_orderkey % 256 AS INTEGER) AS freq, CAST(32 + length(o_orderpriority) AS BIGINT) AS size FROM orders",
     "live": "SELECT * FROM meta WHERE expire_at IS NULL OR expire_at > TIMESTAMP '1997-01-01 00:00:00'",
     "changes": "SELECT row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, 'part:' || CAST(l_partkey AS VARCHAR) AS key, CASE WHEN l_returnflag = 'R' THEN 'DEL' ELSE 'SET' END AS op, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem",
-    "subs": "SELECT * FROM (VALUES ('c1', 'channel', 'click'), ('c1', 'channel', 'view'), ('c2', 'channel', 'click'), ('c2', 'pattern', 's*'), ('c3', 'pattern', '*e*'), ('c3', 'pattern', 'vi?w'), ('c4', 'pattern', '[ce]*')) t(conn, kind, pattern)",
+    "subs": "SELECT * FROM (VALUES ('c1', 'channel', 'click'), ('c1', 'channel', 'view'), ('c2', 'channel', 'click'), ('c2', 'pattern', 's*'), ('c3', 'pattern', '*e*'), ('c3', 'pattern', 'vi?w'), ('c4', 'pattern', '[ce]*'), ('c5', 'pattern', '[^cv]*'), ('c5', 'pattern', '\\*lick'), ('c6', 'pattern', 's[a-l]*'), ('c6', 'pattern', 'v[iI]e\\w'), ('c6', 'pattern', 'cl[ick')) t(conn, kind, pattern)",
     "groups": "SELECT key, 'g1' AS grp, max(ms) - 864000000 AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM streams GROUP BY key",
     "delivered": "SELECT s.key, g.grp, s.ms, s.seq, s.event_id, 'consumer' || CAST(s.event_id % 3 AS VARCHAR) AS consumer FROM streams s JOIN groups g ON s.key = g.key WHERE s.ms > g.last_ms OR (s.ms = g.last_ms AND s.seq > g.last_seq)",
     "pending": "SELECT * FROM delivered WHERE event_id % 4 <> 0",
@@ -70,8 +70,8 @@ class Keyspace:
 
     @cached_property
     def lists(self) -> DataFrame:
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        return self._db(self.table("lineitem").select(F.col("l_orderkey").cast("string").alias("key"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.col("l_partkey").cast("string").alias("value")))
+        w = Window.partitionBy("key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        return self._db(self.table("lineitem").withColumn("key", F.col("l_orderkey").cast("string")).select("key", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.col("l_partkey").cast("string").alias("value")))
 
     @cached_property
     def _event_day(self):
@@ -128,11 +128,12 @@ class Keyspace:
     @cached_property
     def changes(self) -> DataFrame:
         order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        return self._db(self.table("lineitem").select(F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order)).cast("bigint").alias("seq"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("key"), F.when(F.col("l_returnflag") == "R", "DEL").otherwise("SET").alias("op"), F.col("l_quantity").cast("bigint").cast("string").alias("value")))
+        rows = self.table("lineitem").withColumn("key", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))  # dealt by key once
+        return self._db(rows.select(F.row_number().over(Window.partitionBy("key").orderBy(*order)).cast("bigint").alias("seq"), "key", F.when(F.col("l_returnflag") == "R", "DEL").otherwise("SET").alias("op"), F.col("l_quantity").cast("bigint").cast("string").alias("value")))
 
     @cached_property
     def subs(self) -> DataFrame:
-        rows = [("c1", "channel", "click"), ("c1", "channel", "view"), ("c2", "channel", "click"), ("c2", "pattern", "s*"), ("c3", "pattern", "*e*"), ("c3", "pattern", "vi?w"), ("c4", "pattern", "[ce]*")]
+        rows = [("c1", "channel", "click"), ("c1", "channel", "view"), ("c2", "channel", "click"), ("c2", "pattern", "s*"), ("c3", "pattern", "*e*"), ("c3", "pattern", "vi?w"), ("c4", "pattern", "[ce]*"), ("c5", "pattern", "[^cv]*"), ("c5", "pattern", "\\*lick"), ("c6", "pattern", "s[a-l]*"), ("c6", "pattern", "v[iI]e\\w"), ("c6", "pattern", "cl[ick")]
         return self.spark.createDataFrame(rows, "conn string, kind string, pattern string")
 
     @cached_property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -12,6 +14,16 @@ from keyloom.model import KEY
 from keyloom.operators.core import fold_last
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one where none is named on a local master."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_keyloom_saved", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark._keyloom_saved = "file://" + tempfile.mkdtemp(prefix="keyloom-")
+    return named
+
+
 def save(state: DataFrame, path: str, version: int) -> str:
     """Write one immutable snapshot directory per version; readers pick the latest with a success marker."""
     target = f"{path}/version={version:012d}"
