@@ -1,4 +1,4 @@
-"""DuckDB SQL for the contract queries that SQL can express on the small tables: 4, 5 and 7, by brute force."""
+"""DuckDB SQL for the contract queries that SQL can express on the small tables: 4, 5, 7 and 9, by brute force."""
 
 from __future__ import annotations
 
@@ -60,4 +60,20 @@ c AS (SELECT m.vec_id, coalesce((SELECT min(root) FROM reach WHERE reach.node =
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
-ORACLES = {"op4_url_filter": _url_filter(), "op5_embedding_dedup": _EMBEDDINGS, "op7_jaccard_join": _JACCARD}
+_MIX = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(chr(31), '0', CAST(doc_id AS VARCHAR), source, text)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, CAST([5, 2, 1] AS DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio, sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM p),
+l AS (SELECT *, (total - coalesce(before, 0)) / rest AS level FROM r),
+t AS (SELECT source, source_size, total, least(cap, w * (SELECT level FROM l WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1)) AS target FROM l),
+c AS (SELECT d.*, t.target, t.source_size, t.total, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h) AS BIGINT) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT c.source, c.h, c.size, c.total, v.e, (v.e * source_size + cum) / target AS finish FROM c, (VALUES (0), (1), (2)) v(e) WHERE target > 0),
+served AS (SELECT source, e, h, total, sum(size) OVER (ORDER BY finish, h) AS served FROM q),
+cut AS (SELECT source, e, max(h) AS cut FROM served WHERE served <= total GROUP BY source, e),
+n AS (SELECT source, max(CASE WHEN e = 0 THEN cut END) AS a, max(CASE WHEN e = 1 THEN cut END) AS b, max(CASE WHEN e = 2 THEN cut END) AS c FROM cut GROUP BY source),
+k AS (SELECT c.*, CAST(coalesce(CAST(h <= n.a AS INTEGER), 0) + coalesce(CAST(h <= n.b AS INTEGER), 0) + coalesce(CAST(h <= n.c AS INTEGER), 0) AS INTEGER) AS copies FROM c LEFT JOIN n ON c.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM k
+"""
+
+ORACLES = {"op4_url_filter": _url_filter(), "op5_embedding_dedup": _EMBEDDINGS, "op7_jaccard_join": _JACCARD, "op9_source_mix": _MIX}
