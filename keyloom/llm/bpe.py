@@ -29,6 +29,8 @@ from keyloom.llm.shingles import held, release, trim
 
 #: Pieces, and pairs of tokens, that a worker remembers before it halves its memory of them.
 CACHE, PAIRS = 260_000, 120_000
+#: Rows that are coded and decoded together.
+FEW = 100
 
 
 _LEAF: dict = {}
@@ -233,7 +235,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pieces = load(path, pattern)
-        for b in batches:
+        for b in (few.slice(at, FEW) for few in batches for at in range(0, few.num_rows, FEW)):
             ids = [x.astype("<u4", copy=False) for x in pieces.encode(b.column(text).to_pylist())]
             columns = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x.tolist()) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *columns], names=schema.names)

@@ -16,7 +16,7 @@ from keyloom.llm.shingles import distinct, same_spans, span_hashes, trim
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bytes of texts that are cut and looked up together.
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 
 
 def _latin() -> re.Pattern:

@@ -14,6 +14,7 @@ from itertools import islice
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -184,6 +185,7 @@ def let_go() -> None:
 def release() -> None:
     """At a task's end: hand the worker's free memory back, for the worker waits for the next task of any operator."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
