@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import geo as g
@@ -52,13 +52,29 @@ def georadius(table: DataFrame, lon: float, lat: float, radius: float, unit: str
 
 
 def georadiusbymember(table: DataFrame, centres: DataFrame, radius: float, unit: str = "m") -> DataFrame:
-    """For each (db, key, member) of centres the other members within radius: an equi-join on latitude bands
-    as wide as the radius, so that each centre meets three bands only, then the exact distance."""
-    metres = radius * g.UNITS[unit]
-    band = math.degrees(metres / g.RADIUS_M) + 1e-9
-    own = table.select(*MEMBER, "lon", "lat", F.floor(F.col("lat") / band).alias("_band"))
+    """For each (db, key, member) of centres the other members within radius: an equi-join on cells, then the exact
+    distance. A cell is a piece of a latitude band as high as the radius, so a centre meets three bands, and in each the
+    few pieces that its circle's longitudes reach; towards the poles bands have fewer pieces, at last one.
+    """
+    angle = radius * g.UNITS[unit] / g.RADIUS_M
+    band = math.degrees(angle) + 1e-9
+
+    def pieces(b: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(b * band), F.abs((b + 1) * band)), F.lit(90.0))
+        return F.greatest(F.floor(F.cos(F.radians(edge)) * 180 / band), F.lit(1)).cast("bigint")
+
+    def piece(lon: Column, b: Column) -> Column:
+        return F.floor((lon + 180) / 360 * pieces(b))
+
+    lat, lon, b = F.col("lat"), F.col("lon"), F.col("_band")
+    own = table.select(*MEMBER, "lon", "lat", F.floor(lat / band).alias("_band")).withColumn("_piece", F.pmod(piece(lon, b), pieces(b)))
     mid = own.join(centres.select(*MEMBER), MEMBER, "left_semi")
-    mid = mid.select(*KEY, F.col("member").alias("centre"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(F.array(*(F.col("_band") + i for i in (-1, 0, 1)))).alias("_band"))
+    mid = mid.select(*KEY, F.col("member").alias("centre"), lon.alias("_lon"), lat.alias("_lat"), F.explode(F.array(*(b + i for i in (-1, 0, 1)))).alias("_band"))
+    near_pole = (F.abs("_lat") + band >= 90) | F.lit(angle >= math.pi / 2)
+    reach = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians("_lat")), F.lit(1.0)))) + 1e-9)
+    low, high = piece(F.col("_lon") - reach, b), piece(F.col("_lon") + reach, b)
+    met = F.when(high - low + 1 >= pieces(b), F.sequence(F.lit(0).cast("bigint"), pieces(b) - 1)).otherwise(F.transform(F.sequence(low, high), lambda i: F.pmod(i, pieces(b))))
+    mid = mid.withColumn("_piece", F.explode(met))
     d = g.haversine(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat")) / g.UNITS[unit]
-    hit = mid.join(own, [*KEY, "_band"]).where("member <> centre").withColumn("dist", d).where(F.col("dist") <= radius)
+    hit = mid.join(own, [*KEY, "_band", "_piece"]).where("member <> centre").withColumn("dist", d).where(F.col("dist") <= radius)
     return hit.select(*KEY, "centre", "member", "dist")

@@ -83,10 +83,12 @@ def lrem(table: DataFrame, count: int, value: str) -> DataFrame:
 
 
 def linsert(table: DataFrame, pivot: str, value: str, before: bool) -> DataFrame:
-    """Insert beside the first pivot; keys without the pivot stay as they are."""
-    spot = table.where(F.col("value") == pivot).groupBy(*KEY).agg(F.min("pos").alias("pos"))
-    new = spot.select(*KEY, (F.col("pos") * 2 + (-1 if before else 1)).alias("pos"), F.lit(value).alias("value"))
-    return _reposition(table.withColumn("pos", F.col("pos") * 2).unionByName(new))
+    """Insert beside the first pivot; keys without the pivot stay as they are. The list is read and dealt by key once."""
+    first = F.min(F.when(F.col("value") == pivot, F.col("pos"))).over(Window.partitionBy(*KEY))
+    own = F.struct((F.col("pos") * 2).alias("pos"), F.col("value").alias("value"))
+    new = F.struct((F.col("pos") * 2 + (-1 if before else 1)).alias("pos"), F.lit(value).alias("value"))
+    rows = table.withColumn("_first", first).select(*KEY, F.explode(F.when(F.col("pos") == F.col("_first"), F.array(own, new)).otherwise(F.array(own))).alias("_r"))
+    return _reposition(rows.select(*KEY, "_r.pos", "_r.value"))
 
 
 def lpos(table: DataFrame, value: str) -> DataFrame:

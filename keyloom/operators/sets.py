@@ -36,8 +36,9 @@ def scard(table: DataFrame) -> DataFrame:
 
 def smove(table: DataFrame, source: str, target: str, member: str) -> DataFrame:
     """Move one member; if the target holds it already it only leaves the source."""
-    hit = (F.col("key") == source) & (F.col("member") == member)
-    return table.withColumn("key", F.when(hit, target).otherwise(F.col("key"))).dropDuplicates(MEMBER)
+    touched = F.col("key").isin(source, target) & (F.col("member") == member)
+    moved = table.where(touched).withColumn("key", F.lit(target)).dropDuplicates(MEMBER)  # two rows a database at most
+    return table.where(~touched).unionByName(moved)
 
 
 def sinter(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -244,3 +244,25 @@ def test_scan_by_last_row_seen(spark):
         pages += [tuple(r) for r in page]
         last = pages[-1]
     assert pages == sorted(map(tuple, df.collect()))
+
+
+def test_radius_by_member_against_all_pairs(spark):
+    """Over the poles and the date line, for circles from small to more than half the globe."""
+    import math
+    import random
+
+    from keyloom.functions import geo as g
+    from keyloom.operators import geo
+
+    r = random.Random(3)
+    points = [(0, "k", f"m{i}", r.uniform(-180, 180), math.degrees(math.asin(r.uniform(-1, 1)))) for i in range(150)]
+    points += [(0, "k", f"e{i}", lon, lat) for i, (lon, lat) in enumerate([(180.0, 0.0), (-180.0, 0.0), (179.9, 80.0), (-179.9, 80.0), (0.0, 90.0), (90.0, -90.0), (10.0, 89.9), (-170.0, 89.9), (0.0, 0.0)])]
+    table = spark.createDataFrame(points, "db int, key string, member string, lon double, lat double").cache()
+
+    def dist(a, b):
+        x, y, dx, dy = math.radians(a[4]), math.radians(b[4]), math.radians(b[3] - a[3]), math.radians(b[4] - a[4])
+        return 2 * g.RADIUS_M * math.asin(min(1.0, math.sqrt(math.sin(dy / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(dx / 2) ** 2))) / 1000
+
+    for km in (100, 1500, 9000, 15000):
+        got = [(x["centre"], x["member"]) for x in geo.georadiusbymember(table, table.select("db", "key", "member"), km, "km").collect()]
+        assert sorted(got) == sorted((a[2], b[2]) for a in points for b in points if a[2] != b[2] and dist(a, b) <= km)
