@@ -337,9 +337,12 @@ def _(ks):
     return keys.dbsize(ks.meta, ks.now).select("keys")
 
 
-@query("time")
+@query("time", "SELECT true AS near, true AS in_range")
 def _(ks):
-    return ks.spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us")).select(F.floor(F.col("us") / 1_000_000).alias("seconds"), (F.col("us") % 1_000_000).alias("micros"))
+    """The reply's seconds against the driver's clock, and its microseconds."""
+    us = ks.spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us"))
+    reply = us.select(F.floor(F.col("us") / 1_000_000).alias("seconds"), (F.col("us") % 1_000_000).alias("micros"))
+    return reply.select((F.abs(F.col("seconds") - F.lit(int(time.time()))) < 600).alias("near"), F.col("micros").between(0, 999_999).alias("in_range"))
 
 
 #: Name, arity, first key, last key and step of some commands.

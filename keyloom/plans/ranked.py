@@ -214,9 +214,14 @@ def _bounded(estimates, exact):
     return estimates.join(exact, "key").select("key", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
 
 
-@query("pfadd")
-def _(ks):
-    return hll.pfadd(_items(ks), "item").select("key", F.octet_length("sketch").alias("bytes"))
+@query("pfadd", "SELECT DISTINCT event_type AS key, 0 AS changed FROM events")
+def _(ks):
+    """The reply to adding all items a second time: no estimate changes."""
+    once = hll.pfadd(_items(ks), "item")
+    merged = lambda s: s.groupBy("db", "key").agg(F.hll_union_agg("sketch").alias("sketch"))  # noqa: E731  estimates of merged sketches are read another way
+    twice = merged(once.unionByName(once))
+    estimates = hll.pfcount(merged(once)).select("key", "estimate").join(hll.pfcount(twice).select("key", F.col("estimate").alias("after")), "key")
+    return estimates.select("key", (F.col("estimate") != F.col("after")).cast("int").alias("changed"))
 
 
 @query("pfcount", "SELECT DISTINCT event_type AS key, true AS within FROM events")
