@@ -216,11 +216,12 @@ def _bounded(estimates, exact):
 
 @query("pfadd", "SELECT DISTINCT event_type AS key, 0 AS changed FROM events")
 def _(ks):
-    """The reply to adding all items a second time: no estimate changes."""
+    """The reply to adding all items to a merged sketch once more: no estimate changes."""
     once = hll.pfadd(_items(ks), "item")
-    merged = lambda s: s.groupBy("db", "key").agg(F.hll_union_agg("sketch").alias("sketch"))  # noqa: E731  estimates of merged sketches are read another way
-    twice = merged(once.unionByName(once))
-    estimates = hll.pfcount(merged(once)).select("key", "estimate").join(hll.pfcount(twice).select("key", F.col("estimate").alias("after")), "key")
+    merged = lambda s: s.groupBy("db", "key").agg(F.hll_union_agg("sketch").alias("sketch"))
+    held = merged(once.unionByName(once))
+    twice = merged(held.unionByName(once))
+    estimates = hll.pfcount(held).select("key", "estimate").join(hll.pfcount(twice).select("key", F.col("estimate").alias("after")), "key")
     return estimates.select("key", (F.col("estimate") != F.col("after")).cast("int").alias("changed"))
 
 
