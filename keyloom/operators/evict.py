@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.core import shuffled
 
 POLICIES = {"lru": ["last_access", "key"], "lfu": ["freq", "last_access", "key"], "ttl": ["expire_at", "key"], "random": None}
+#: Rows that are ranked in one task at most, and bytes of a key that make one number.
+SMALL, SLICE = 100_000, 6
+
+
+def _digits(policy: str, seed: int) -> Iterator[Column]:
+    """The policy's order as numbers, one after the other; those of the key go on without end."""
+    name = shuffled(seed, "key") if policy == "random" else F.col("key")
+    for c in (POLICIES[policy] or [])[:-1]:
+        number = F.col(c) if c == "freq" else F.unix_micros(F.col(c).cast("timestamp"))
+        yield F.coalesce(number.cast("double"), F.lit(-1e300))  # nulls come first
+    for at in itertools.count(1, SLICE):
+        part = F.substring(F.encode(name, "utf-8"), at, SLICE)
+        yield F.conv(F.rpad(F.hex(part), 2 * SLICE, "0"), 16, 10).cast("double")
 
 
 def evict(meta: DataFrame, policy: str, need_bytes: int, volatile: bool = False, seed: int = 0, buckets: int = 1024) -> DataFrame:
     """Victims in policy order whose cumulated size first reaches need_bytes.
 
-    The running sum over all keys is taken in two levels: sizes are summed per coarse rank bucket, the bucket in
-    which the budget is met is found among `buckets` rows, and only rows up to that bucket are ranked.
+    Sizes are summed in buckets of the order's first number; those before the bucket in which the budget is met go as a
+    whole, that one is cut into buckets again, by the next number where the first is the same for all, until it has few
+    enough rows to be ranked in one task. Each round brings `buckets` sums to the driver; equal values are no hot spot.
     """
     if policy == "noeviction":
         return meta.where(F.lit(False))
     table = meta.where(F.col("expire_at").isNotNull()) if volatile or policy == "ttl" else meta
     order = POLICIES[policy] or [shuffled(seed, "key"), F.col("key")]
-    lead = {"lru": F.unix_micros(F.col("last_access").cast("timestamp")), "ttl": F.unix_micros(F.col("expire_at").cast("timestamp")), "lfu": F.col("freq").cast("bigint"), "random": F.conv(F.substring(shuffled(seed, "key"), 1, 8), 16, 10)}[policy]
-    led = table.withColumn("_lead", lead.cast("double"))
-    lo, hi = led.agg(F.min("_lead"), F.max("_lead")).first()
-    if lo is None:
-        return meta.where(F.lit(False))
-    bucket = F.least(F.floor((F.col("_lead") - lo) / max(hi - lo, 1.0) * buckets), F.lit(buckets - 1)).cast("int")
-    led = led.withColumn("_bucket", bucket)
-    sums = led.groupBy("_bucket").agg(F.sum("size").alias("_size"))
-    before = sums.withColumn("_before", F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size"))
-    kept = led.join(F.broadcast(before.where(F.col("_before") < need_bytes).select("_bucket", "_before")), "_bucket")  # at most `buckets` rows
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    ahead = F.col("_before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return kept.withColumn("_ahead", ahead).where(F.col("_ahead") < need_bytes).select(*meta.columns)
+    whole, inside, digits = F.lit(False), F.lit(True), _digits(policy, seed)
+    digit = next(digits)
+    while True:
+        part = table.where(inside)
+        lo, hi, n, total = part.agg(F.min(digit), F.max(digit), F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if total < need_bytes:
+            return table.where(whole | inside).select(*meta.columns)
+        if n <= SMALL:
+            ahead = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+            last = part.withColumn("_ahead", ahead).where(F.col("_ahead") < need_bytes)  # at most SMALL rows
+            return table.where(whole).unionByName(last.drop("_ahead")).select(*meta.columns)
+        if lo == hi:
+            digit = next(digits)
+            continue
+        bucket = F.least(F.floor((digit - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+        sums = {r["b"]: r["s"] for r in part.groupBy(bucket.alias("b")).agg(F.sum("size").alias("s")).collect()}  # at most `buckets` rows
+        before = 0
+        for cut in sorted(sums):
+            if before + sums[cut] >= need_bytes:
+                break
+            before += sums[cut]
+        whole, inside, need_bytes = whole | (inside & (bucket < cut)), inside & (bucket == cut), need_bytes - before
 
 
 def lfu_decay(meta: DataFrame, now, minutes: int = 1) -> DataFrame:

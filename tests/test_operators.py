@@ -266,3 +266,27 @@ def test_radius_by_member_against_all_pairs(spark):
     for km in (100, 1500, 9000, 15000):
         got = [(x["centre"], x["member"]) for x in geo.georadiusbymember(table, table.select("db", "key", "member"), km, "km").collect()]
         assert sorted(got) == sorted((a[2], b[2]) for a in points for b in points if a[2] != b[2] and dist(a, b) <= km)
+
+
+def test_evict_cuts_hot_values_to_small_parts(spark, monkeypatch):
+    """Most rows of one value and an outlier: the same victims as by ranking all, with few rows ranked."""
+    import datetime
+    import random
+
+    r = random.Random(1)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(0, f"key:{i % 7}:{i:05d}" if i % 3 else f"k{i}", day + datetime.timedelta(days=40) if i % 5 else None, day if i % 10 else day + datetime.timedelta(days=r.choice([-9000, 1, 5])), 3 if i % 4 else r.randrange(9), r.randrange(1, 90)) for i in range(600)]
+    meta = spark.createDataFrame(rows, "db int, key string, expire_at timestamp_ntz, last_access timestamp_ntz, freq int, size bigint").cache()
+    orders = {"lru": lambda x: (x[3], x[1]), "lfu": lambda x: (x[4], x[3], x[1]), "ttl": lambda x: (x[2], x[1])}
+    monkeypatch.setattr(evict, "SMALL", 20)
+    for policy, order in orders.items():
+        for need in (1, 5000, 9000, 10**9):
+            want, ahead = [], 0
+            for x in sorted((x for x in rows if policy != "ttl" or x[2] is not None), key=order):
+                if ahead < need:
+                    want.append(x[1])
+                ahead += x[5]
+            assert sorted(y["key"] for y in evict.evict(meta, policy, need, buckets=16).collect()) == sorted(want)
+    many = {y["key"] for y in evict.evict(meta, "random", 5000, seed=1, buckets=16).collect()}
+    monkeypatch.setattr(evict, "SMALL", 1000)
+    assert many == {y["key"] for y in evict.evict(meta, "random", 5000, seed=1).collect()}
