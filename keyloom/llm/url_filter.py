@@ -22,8 +22,11 @@ from keyloom.llm.common import LOWER, UPPER, Scratch
 
 #: Fixed values: (verdict, rule as host/path-prefix).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Suffixes of two labels.
-WIDE = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za"]
+#: Common suffixes of two labels. A fuller list of public suffixes is a parameter of `judge`.
+WIDE = [
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph",
+    "com.pk", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+]
 #: Least good rate, standard deviations of the bound, and limits of a prior's strength.
 LEAST, Z, STRENGTH = 0.5, 1.645, (1.0, 10_000.0)
 
@@ -46,13 +49,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(WIDE), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_of(host: Column, wide: list[str] = WIDE) -> Column:
+    return F.when(F.substring_index(host, ".", -2).isin(wide), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, wide: list[str] = WIDE) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(WIDE), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(wide), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(children: DataFrame) -> float:
@@ -69,11 +72,11 @@ def _strength(children: DataFrame) -> float:
     return STRENGTH[1] if rho <= 0 else min(max(1 / rho - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, scratch: Scratch) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, scratch: Scratch, wide: list[str] = WIDE) -> DataFrame:
     """(host, n, good, mean, upper) for every host of pages (page_id, host); outcomes: (page_id, good 0/1)."""
     o = outcomes.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.min("good").cast("double").alias("good"))
     hosts = pages.join(o, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"))
-    hosts = scratch.keep(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = scratch.keep(hosts.withColumns({"domain": domain_of(F.col("host"), wide), "suffix": suffix_of(F.col("host"), wide)}))
     domains = scratch.keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     suffixes = scratch.keep(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     n, good = suffixes.agg(F.sum("n"), F.sum("good")).first()
@@ -92,11 +95,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame, scratch: Scratch) -> Data
     return scratch.keep(hosts.select("host", "n", "good", "mean", F.least(F.col("mean") + Z * F.col("deviation"), F.lit(1.0)).alias("upper")))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, least: float = LEAST) -> DataFrame:
-    """(page_id, host, path, rule, verdict, reputation) of every page (page_id, url)."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, least: float = LEAST, wide: list[str] = WIDE) -> DataFrame:
+    """(page_id, host, path, rule, verdict, reputation) of every page (page_id, url); wide: suffixes of two labels."""
     scratch = Scratch(pages.sparkSession)
     p = scratch.keep(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    known = reputations(p, outcomes, scratch).select("host", "mean", "upper")
+    known = reputations(p, outcomes, scratch, wide).select("host", "mean", "upper")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("upper") < least, "block").otherwise("allow")
     return p.join(known, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), F.col("mean").alias("reputation"))

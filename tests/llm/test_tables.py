@@ -92,6 +92,16 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, url_filter.label_outcomes(labels.where("false"))).collect() if not r["rule"]} == {"allow"}
 
 
+def test_suffixes_are_a_parameter(spark):
+    """Two shops below one suffix of two labels are one domain, or two if the list says so."""
+    rows = [(i, f"http://{'ab'[i % 2]}.shop.example/{i}") for i in range(200)] + [(900, "http://c.shop.example/")]
+    good = [(i, i % 2) for i in range(200)]
+    args = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(good, "page_id bigint, good int")
+    one = {r["host"]: r["reputation"] for r in url_filter.judge(*args).collect()}
+    two = {r["host"]: r["reputation"] for r in url_filter.judge(*args, wide=["shop.example"]).collect()}
+    assert two["a.shop.example"] < 0.2 < 0.8 < two["b.shop.example"] and one["a.shop.example"] < one["c.shop.example"] < one["b.shop.example"]
+
+
 def test_reputation_shrinks(spark):
     """Bad hosts are blocked once their outcomes outweigh the prior; hosts with few outcomes lean on their domain."""
     rows, good = [], []
