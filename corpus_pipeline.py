@@ -11,14 +11,12 @@ Each stage function takes (spark, docs, sf_dir) and returns a DataFrame; all but
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, jaccard, mixing, pii, quality
-from keyloom.llm.common import shared_dir, ship
+from keyloom.llm.common import Scratch, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is stored in the shared folder."""
+    """All stages over documents. What lies between them is stored in the shared folder: a stage's table goes when the
+    next one is written, the last one when the driver exits."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+    scratch, before = Scratch(spark), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
