@@ -172,17 +172,26 @@ class ShardReader:
         self._ends = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of symbols, one level of rules at a time."""
-        while len(deep := np.flatnonzero(symbols >= self.first)):
-            width = np.ones(len(symbols), np.int64)
-            width[deep] = 2
-            place = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), np.uint32)
-            out[place] = symbols
-            pair = self.rules[symbols[deep] - self.first]
-            out[place[deep]], out[place[deep] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """Ids of symbols. Expansion lengths tell where each symbol's ids begin, so that a round touches only the
+        symbols that the last one left to expand."""
+        symbols = np.asarray(symbols, np.uint32)
+        width = np.ones(len(symbols), np.int64)
+        deep = np.flatnonzero(symbols >= self.first)
+        width[deep] = self.lengths[symbols[deep] - self.first]
+        at = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.uint32)
+        while len(symbols):
+            deep = symbols >= self.first
+            out[at[~deep]] = symbols[~deep]
+            rule, left = symbols[deep] - self.first, at[deep]
+            pair = self.rules[rule]
+            right = left + self.lengths[rule]
+            last = pair[:, 1]
+            own = last >= self.first
+            size = np.ones(len(last), np.int64)
+            size[own] = self.lengths[last[own] - self.first]
+            symbols, at = np.concatenate([pair[:, 0], last]), np.concatenate([left, right - size])
+        return out
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop: finds the symbols that cover them by their expansion lengths and expands only those."""

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -245,3 +246,15 @@ def test_memory_halves_and_stays_right():
     texts = ["a b c d", None, "", "x" * 9 + " a", "日本 a", " ".join(map(str, range(60))), "a b"]
     for t, ids in zip(texts * 2, c.encode(texts * 2), strict=True):
         assert ids.tolist() == [x for p in regex.findall(PATTERN, t or "") for x in (len(p), ord(p[0]))]
+
+
+def test_deep_rules_expand_in_place():
+    """A rule in a rule, 3,000 deep, among many plain ids: a round touches only what is left to expand."""
+    first, deep, plain = 10, 3000, np.full(500_000, 3, np.uint32)
+    reader = token_shards.ShardReader(token_shards.write_shard([np.zeros(1, np.uint32)], first))
+    reader.rules = np.array([(first + k - 1 if k else 1, 2) for k in range(deep)], np.uint32)
+    reader.lengths = np.arange(2, deep + 2)
+    began = time.process_time()
+    got = reader.expand(np.concatenate([plain, [first + deep - 1, 4]]).astype(np.uint32))
+    assert time.process_time() - began < 2
+    assert got[len(plain) :].tolist() == [1] + [2] * deep + [4] and (got[: len(plain)] == plain).all()
